@@ -30,13 +30,16 @@ def running_totals(df: DataFrame, group: Sequence[str], order: str, weight: str,
                                    cuts.alias("__all_cuts"))
     stats = stats.select(*group, "total", F.when(F.col("__values") > split_rows,
                                                  F.col("__all_cuts")).alias("__cuts"))
-    placed = (df.join(stats, group) if group else df.crossJoin(stats)).withColumn(
-        "__range", F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(order))),
-                              F.lit(0)).cast("int")).drop("__cuts")
     if group:
-        placed = placed.withColumn("__range", F.when(F.col("__range") < 0, 0)
-                                   .otherwise(F.col("__range")))
+        measured = df.join(stats, group)
+    else:
+        measured = df.withColumns({c: stats.select(c).scalar() for c in ("total", "__cuts")})
+    below = F.size(F.filter("__cuts", lambda cut: cut < F.col(order)))
     span = [*group, "__range"]
+    # The explicit repartition matters: rows already partitioned by group would satisfy the
+    # window below and leave a large group in one task.
+    placed = (measured.withColumn("__range", F.when(F.col("__cuts").isNull(), 0).otherwise(below))
+              .drop("__cuts").repartition(*span))
     inside = Window.partitionBy(*span).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("__local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     across = Window.partitionBy(*(group or [F.lit(1)])).orderBy("__range").rowsBetween(
