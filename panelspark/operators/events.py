@@ -112,22 +112,30 @@ def annual_series(dim: DataFrame, fact: DataFrame, unit: str, region: str, year:
             .withColumn("n", F.coalesce("n", F.lit(0))))
 
 
+def dense_types(dim: DataFrame, unit: str, catalogue: DataFrame) -> DataFrame:
+    """Every unit with every type of a small fixed catalogue."""
+    entries = catalogue.agg(F.collect_list(F.struct(*catalogue.columns))).scalar()
+    return (dim.select(unit).withColumn("__type", F.explode(entries))
+            .select(unit, *[F.col("__type")[c].alias(c) for c in catalogue.columns]))
+
+
 def type_breakdown(dim: DataFrame, by_type: DataFrame, unit: str, type_column: str,
-                   catalogue: DataFrame, measures: Sequence[str], count: str = "event_count") -> DataFrame:
+                   catalogue: DataFrame, measures: Sequence[str], count: str = "event_count",
+                   totals: DataFrame | None = None) -> DataFrame:
     """Every catalogue type for every unit, zero-filled, with its share of the unit's events.
 
-    A share of a unit without events is 0 here (it is null in ``month_breakdown``).
+    ``by_type`` may hold finer codes; they are merged per type (null sums count as zero).
+    ``totals`` (unit, total) gives the denominators, else the sum over the types.  The share of a
+    unit without events is 0 here, while ``month_breakdown`` gives null.
     """
     observed = by_type.groupBy(unit, type_column).agg(
         F.min("first_event_date").alias("first_event_date"),
         F.max("latest_event_date").alias("latest_event_date"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in measures])
-    total = observed.groupBy(unit).agg(F.sum(count).alias("__total"))
-    # The catalogue is a fixed handful of types, carried as one array literal per unit.
-    entries = catalogue.agg(F.collect_list(F.struct(*catalogue.columns))).scalar()
-    grid = (dim.select(unit).withColumn("__type", F.explode(entries))
-            .select(unit, *[F.col("__type")[c].alias(c) for c in catalogue.columns]))
-    joined = grid.join(observed, [unit, type_column], "left").join(total, unit, "left")
+    if totals is None:
+        totals = observed.groupBy(unit).agg(F.sum(count).alias("total"))
+    joined = (dense_types(dim, unit, catalogue).join(observed, [unit, type_column], "left")
+              .join(totals.select(unit, F.col("total").alias("__total")), unit, "left"))
     filled = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in measures})
     share = F.coalesce(percentage(F.col(count), F.col("__total")), F.lit(0.0))
     return filled.withColumn("event_pct", share).drop("__total")
