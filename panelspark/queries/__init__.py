@@ -1,6 +1,13 @@
 """Queries over the driver tables; importing this package fills the registry."""
 
-from panelspark.queries import event_queries, panel_queries  # noqa: F401
+from panelspark.queries import (  # noqa: F401
+    event_queries,
+    key_queries,
+    panel_queries,
+    publish_queries,
+    quality_queries,
+    text_queries,
+)
 from panelspark.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
