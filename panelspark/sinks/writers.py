@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -68,17 +68,20 @@ def write_json_lines(df: DataFrame, path: str, partition_by: Sequence[str] = ())
     replace_on_success(df.sparkSession, path, write)
 
 
-RUN_SCHEMA = T.StructType.fromDDL(
-    "run_id string, source string, status string, release string, started_at timestamp, "
-    "finished_at timestamp, input_signature string, pipeline_fingerprint string, "
-    "schema_fingerprint string, output_fingerprints map<string,string>, "
-    "row_counts map<string,bigint>, detail map<string,string>")
+RUN_FIELDS = {
+    "run_id": "string", "source": "string", "status": "string", "release": "string",
+    "started_at": "timestamp", "finished_at": "timestamp", "input_signature": "string",
+    "pipeline_fingerprint": "string", "schema_fingerprint": "string",
+    "output_fingerprints": "map<string,string>", "row_counts": "map<string,bigint>",
+    "detail": "map<string,string>",
+}
 
 
 def append_run(spark: SparkSession, path: str, record: dict) -> None:
     """Append one run record; earlier records are never rewritten."""
-    row = tuple(record.get(name) for name in RUN_SCHEMA.names)
-    spark.createDataFrame([row], RUN_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    row = tuple(record.get(name) for name in RUN_FIELDS)
+    schema = ", ".join(f"{name} {kind}" for name, kind in RUN_FIELDS.items())
+    spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(path)
 
 
 def archive_release(df: DataFrame, archive_path: str, release: str) -> bool:
