@@ -14,6 +14,9 @@ from pyspark.sql import Column, functions as F, types as T
 
 LATIN_BLOCKS = ((0x00A0, 0x0250), (0x1E00, 0x1F00), (0xFB00, 0xFB07))
 _SPACES = r"[\s\p{Z}\x1c-\x1f\x85]+"
+COMBINING_MARKS = "".join(c for c in map(chr, range(0x0300, 0x10000)) if unicodedata.combining(c))
+# Code points that never occur in text; they stand in for letters that fold to several.
+_STAND_INS = [chr(code) for code in range(0xFDD0, 0xFDF0)]
 
 
 def _strip_marks(text: str, form: str) -> str:
@@ -21,8 +24,12 @@ def _strip_marks(text: str, form: str) -> str:
 
 
 def _folding(form: str, full_casefold: bool) -> tuple[str, str, dict[str, str]]:
-    """(from, to) strings for ``translate`` and the few one-to-many replacements."""
-    source, target, longer = [], [], {}
+    """(from, to) for one ``translate`` and the expansions of its stand-ins.
+
+    Letters are mapped to their folded base letter; combining marks have no counterpart in
+    ``to``, so ``translate`` drops them.
+    """
+    source, target, expansions = [], [], {}
     for first, last in LATIN_BLOCKS:
         for code in range(first, last):
             char = chr(code)
@@ -30,12 +37,11 @@ def _folding(form: str, full_casefold: bool) -> tuple[str, str, dict[str, str]]:
             folded = folded.casefold() if full_casefold else folded.lower()
             if folded == char or not folded.strip():
                 continue
-            if len(folded) == 1:
-                source.append(char)
-                target.append(folded)
-            else:
-                longer[char] = folded
-    return "".join(source), "".join(target), longer
+            if len(folded) > 1:
+                folded = expansions.setdefault(folded, _STAND_INS[len(expansions)])
+            source.append(char)
+            target.append(folded)
+    return "".join(source) + COMBINING_MARKS, "".join(target), {v: k for k, v in expansions.items()}
 
 
 _COMPAT = _folding("NFKD", True)
@@ -43,15 +49,23 @@ _CANONICAL = _folding("NFD", False)
 
 
 def _fold(column: Column, table: tuple[str, str, dict[str, str]]) -> Column:
-    source, target, longer = table
-    expanded = column
-    for char, replacement in longer.items():
-        expanded = F.replace(expanded, F.lit(char), F.lit(replacement))
-    if longer:
-        rare = "[" + "".join(longer) + "]"
-        column = F.when(column.rlike(rare), expanded).otherwise(column)
-    folded = F.lower(F.translate(column, source, target))
-    return F.regexp_replace(folded, r"\p{Mn}+", "")
+    source, target, expansions = table
+    folded = F.translate(column, source, target)
+    if expansions:
+        expanded = folded
+        for stand_in, letters in expansions.items():
+            expanded = F.replace(expanded, F.lit(stand_in), F.lit(letters))
+        rare = f"[{_STAND_INS[0]}-{_STAND_INS[-1]}]"
+        folded = F.when(folded.rlike(rare), expanded).otherwise(folded)
+    return F.lower(folded)
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once.
+
+    A filter inlines every expression it refers to, so a costly one named twice would run twice.
+    """
+    return F.transform(F.array(value), use)[0]
 
 
 def squeeze(column: Column) -> Column:
@@ -82,20 +96,32 @@ def normalize_search(column: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def normalize_exact(values: pd.Series) -> pd.Series:
     """As ``normalize_name`` for any script: full NFKD and Unicode case folding."""
+    import re
+    import unicodedata
+
+    marks = re.compile(f"[{COMBINING_MARKS}]+")
+
     def one(text):
-        return None if text is None else " ".join(_strip_marks(text, "NFKD").casefold().split())
+        if text is None:
+            return None
+        if not text.isascii():
+            text = marks.sub("", unicodedata.normalize("NFKD", text))
+        return " ".join(text.casefold().split())
+
     return values.map(one)
 
 
 def mentions_unit(text: Column, name: Column, state: Column) -> Column:
     """Whether free text names the unit in one of four accepted phrasings (substring test)."""
-    haystack, needle = normalize_slug(text), normalize_slug(name)
-    phrasings = [F.concat(F.lit(f"municipio {link} "), needle) for link in ("de", "do", "da")]
-    phrasings.append(F.concat(needle, F.lit(" "), F.lower(state)))
-    result = F.lit(False)
-    for phrase in phrasings:
-        result = result | haystack.contains(phrase)
-    return result
+    both = F.struct(normalize_slug(text).alias("text"), normalize_slug(name).alias("name"))
+
+    def found(pair):
+        result = pair["text"].contains(F.concat(pair["name"], F.lit(" "), F.lower(state)))
+        for link in ("de", "do", "da"):
+            result = result | pair["text"].contains(F.concat(F.lit(f"municipio {link} "), pair["name"]))
+        return result
+
+    return bind(both, found)
 
 
 def contains_all(column: Column, terms) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.operators.ordering import quantiles_from_counts, value_counts
+from panelspark.session import cut_lineage
 
 INCLUDED, MISSING, UNDEFINED = "included", "missing", "undefined"
 
@@ -27,8 +28,13 @@ def peer_benchmark(rows: DataFrame, unit: str, group: str, **spread) -> DataFram
 
     Only included values enter mean, median and ranks; the unit itself is part of the
     denominator.  A unit that is not included has no position.
+
+    Rows are reduced to distinct values per group before anything is ranked, so a group holding
+    most units, or one value held by most of them, is no large task.  One row per unit and metric
+    is materialised because it is read twice.
     """
     keys = [group, "metric"]
+    rows = cut_lineage(rows)
     included = F.col("state") == INCLUDED
     value = F.when(included, F.col("value"))
     summary = rows.groupBy(*keys).agg(
@@ -36,15 +42,10 @@ def peer_benchmark(rows: DataFrame, unit: str, group: str, **spread) -> DataFram
         *[F.count_if(F.col("state") == s).alias(s) for s in (INCLUDED, MISSING, UNDEFINED)])
     ranks = value_counts(rows.filter(included), keys, "value", **spread)
     medians = quantiles_from_counts(ranks, keys, "value", {"median": 0.5})
-    position = ranks.select(
-        *keys, F.col("value").alias("__value"),
-        (F.col("before") / F.col("total") * 100.0).alias("pct_strictly_lower"))
-    r, p = rows.alias("r"), position.alias("p")
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"p.{k}")) if k == group else
-            F.col(f"r.{k}") == F.col(f"p.{k}") for k in keys]
-    joined = r.join(p, [*same, F.when(F.col("r.state") == INCLUDED, F.col("r.value"))
-                        == F.col("p.__value")], "left").select("r.*", "pct_strictly_lower")
-    return (joined.join(summary, keys).join(medians, keys, "left"))
+    position = ranks.select(*keys, F.col("value").alias("__value"),
+                            (F.col("before") / F.col("total") * 100.0).alias("pct_strictly_lower"))
+    placed = rows.withColumn("__value", value).join(position, [*keys, "__value"], "left").drop("__value")
+    return placed.join(summary.join(medians, keys, "left"), keys)
 
 
 def panel_metric_states(dim: DataFrame, history: DataFrame, change: DataFrame, unit: str,

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from panelspark.functions.numbers import in_trailing_years, percentage
 from panelspark.operators.keys import counter_entries
@@ -142,10 +142,12 @@ def type_breakdown(dim: DataFrame, by_type: DataFrame, unit: str, type_column: s
 
 
 def month_breakdown(profile: DataFrame, unit: str, flagged: str) -> DataFrame:
-    """Share of each month; null (not zero) for a unit without events."""
-    total = profile.groupBy(unit).agg(F.sum(flagged).alias("__total"))
-    return (profile.join(total, unit)
-            .withColumn("event_pct", percentage(F.col(flagged), F.col("__total"))).drop("__total"))
+    """Share of each month; null (not zero) for a unit without events.
+
+    A unit has twelve rows, so a window per unit stays small.
+    """
+    total = F.sum(flagged).over(Window.partitionBy(unit))
+    return profile.withColumn("event_pct", percentage(F.col(flagged), total))
 
 
 def top_months(profile: DataFrame, unit: str, count: str, k: int = 3) -> DataFrame:
@@ -153,8 +155,6 @@ def top_months(profile: DataFrame, unit: str, count: str, k: int = 3) -> DataFra
 
     A unit has at most twelve rows here, so a window per unit stays small.
     """
-    from pyspark.sql import Window
-
     per_unit = Window.partitionBy(unit)
     ranked = (profile.withColumn("__total", F.sum(count).over(per_unit))
               .filter(F.col(count) > 0)
@@ -178,10 +178,9 @@ def first_and_last(history: DataFrame, unit: str, year: str, value: str) -> Data
 
 
 def scale_to_max(counts: DataFrame, unit: str, n: str) -> DataFrame:
-    """Each value as a percentage of the unit's largest, which counts as at least 1."""
-    top = counts.groupBy(unit).agg(F.greatest(F.max(n), F.lit(1)).alias("__max"))
-    return counts.join(top, unit).withColumn(
-        "scaled_pct", F.col(n) / F.col("__max") * 100.0).drop("__max")
+    """Each value of a unit's yearly series as a percentage of its largest, at least 1."""
+    top = F.greatest(F.max(n).over(Window.partitionBy(unit)), F.lit(1))
+    return counts.withColumn("scaled_pct", F.col(n) / top * 100.0)
 
 
 def event_rollup(rows: DataFrame, unit: str, year: str, type_label: str, recognized: Column,

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelspark.functions.numbers import lenient_int, locale_decimal
 from panelspark.functions.text import contains_all, full_match, mentions_unit, normalize_slug
 from panelspark.operators.keys import first_seen, last_wins, union_of_lists
+from panelspark.session import cut_lineage
 
 # Programme rules, action suffixes in order of precedence, labels.
 OLD_RULE = ("preven", "prepara", "desastr")
@@ -49,78 +50,73 @@ def attribute_transfers(programs: DataFrame, program_proposals: DataFrame, propo
 
     ``units`` has code, name and uf.  ``seq`` is the arrival order of proposals and agreements:
     a repeated proposal keeps its last row, a repeated agreement its first qualifying row, and
-    the latest agreement breaks ties by the later arrival.
+    the latest agreement breaks ties by the later arrival.  The kept agreements are materialised
+    because three aggregates read them.
     """
+    # A proposal carries at most one label per suffix plus the default one.
     labels = (program_proposals.select(F.col("ID_PROGRAMA").alias("program_id"),
                                        F.col("ID_PROPOSTA").alias("proposal_id"))
-              .filter(text_or_empty(F.col("proposal_id")) != "").distinct()
+              .filter(text_or_empty(F.col("proposal_id")) != "")
               .join(program_actions(programs), "program_id")
-              .select("proposal_id", "action").distinct())
+              .groupBy("proposal_id").agg(F.collect_set("action").alias("labels")))
     typed = proposals.select(
         F.col("ID_PROPOSTA").alias("proposal_id"),
         text_or_empty(F.col("COD_MUNIC_IBGE")).alias("code"),
         F.trim(text_or_empty(F.col("OBJETO_PROPOSTA"))).alias("object"),
         lenient_int(F.col("ANO_PROP")).alias("proposal_year"), F.col(seq).alias("__seq"))
-    chosen = last_wins(typed.join(labels.select("proposal_id").distinct(), "proposal_id", "left_semi")
-                       .filter(full_match(F.col("code"), "[0-9]{7}")), ["proposal_id"], "__seq")
-    named = (chosen.drop("__seq").join(units.select("code", "name", "uf"), "code")
-             .filter(mentions_unit(F.col("object"), F.col("name"), F.col("uf"))))
+    chosen = last_wins(typed.filter(full_match(F.col("code"), "[0-9]{7}")), ["proposal_id"], "__seq")
+    named = (chosen.drop("__seq").join(labels, "proposal_id").join(units.select("code", "name", "uf"), "code")
+             .filter(mentions_unit(F.col("object"), F.col("name"), F.col("uf"))).drop("name", "uf"))
     rows = agreements.select(
         F.col("ID_PROPOSTA").alias("proposal_id"), F.col("NR_CONVENIO").alias("number"),
         lenient_int(F.col("ANO")).alias("own_year"),
         F.trim(text_or_empty(F.col("SIT_CONVENIO"))).alias("status"),
         locale_decimal(F.col("VL_GLOBAL_CONV")).alias("global_value"), F.col(seq).alias("seq"))
     qualified = rows.filter(text_or_empty(F.col("number")) != "").join(named, "proposal_id")
-    kept = first_seen(qualified, ["number"], "seq").withColumn(
-        "year", F.when(F.col("own_year") != 0, F.col("own_year")).otherwise(F.col("proposal_year")))
+    kept = cut_lineage(first_seen(qualified, ["number"], "seq").withColumn(
+        "year", F.when(F.col("own_year") != 0, F.col("own_year")).otherwise(F.col("proposal_year"))))
     # An unknown year (0) restarts the running minimum of the first year, in arrival order.
-    restart = kept.groupBy("code").agg(
-        F.coalesce(F.max(F.when(F.col("year") == 0, F.col("seq"))), F.lit(-1)).alias("__zero"))
-    per_unit = kept.join(restart, "code").groupBy("code").agg(
+    restart = kept.filter(F.col("year") == 0).groupBy("code").agg(F.max("seq").alias("__zero"))
+    after = F.coalesce(F.col("seq") > F.col("__zero"), F.lit(True))
+    per_unit = kept.join(restart, "code", "left").groupBy("code").agg(
         F.count("*").alias("agreements"),
-        F.coalesce(F.min(F.when(F.col("seq") > F.col("__zero"), F.col("year"))), F.lit(0)).alias("first_year"),
+        F.coalesce(F.min(F.when(after, F.col("year"))), F.lit(0)).alias("first_year"),
         F.max("year").alias("last_year"),
         F.max_by(F.struct("number", "year", "status", "object",
                           F.col("global_value").alias("globalValue")),
                  F.struct("year", "seq")).alias("latest"))
-    actions = union_of_lists(
-        kept.select("code", "proposal_id").distinct().join(labels, "proposal_id")
-        .select("code", F.array("action").alias("actions")), ["code"], "actions")
+    actions = union_of_lists(kept.select("code", F.col("labels").alias("actions")), ["code"], "actions")
     return per_unit.join(actions, "code", "left").withColumn("attribution", F.lit(ATTRIBUTION))
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(normalize_slug(text), " "), lambda w: w != "")
-
-
 def mention_join(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase_id: str,
                  phrase: str, probe_words: int = 8) -> DataFrame:
     """Pairs (text, phrase) where the normalised text holds the normalised phrase as a substring.
 
     A text that holds a phrase also holds, as whole words, every word of the phrase except
-    perhaps the first and the last.  Up to ``probe_words`` of these inner words, taken as one
-    run, are the join key: phrases offer one key each, texts offer every run of the lengths that
-    occur among the phrases.  The substring test then decides.  Phrases of fewer than three words
-    have no inner word and are compared by a filter on all texts; keep those few.
+    perhaps the first and the last.  A run of up to ``probe_words`` of these inner words is the
+    join key: phrases offer one key each, texts every run of the lengths that occur among the
+    phrases.  The substring test then decides.  Phrases with fewer than three words have no inner
+    word to look up, so they are refused.
     """
     slug = phrases.select(phrase_id, normalize_slug(F.col(phrase)).alias("__phrase")).withColumn(
-        "__words", F.filter(F.split("__phrase", " "), lambda w: w != ""))
-    inner = F.size("__words") - 2
-    keyed = slug.filter(inner > 0).withColumn(
-        "__probe", F.slice("__words", F.lit(2), F.least(inner, F.lit(probe_words)))).select(
-        phrase_id, "__phrase", F.size("__probe").alias("__len"),
-        F.xxhash64(F.array_join("__probe", " ")).alias("__key"))
+        "__words", F.split("__phrase", " "))
+    long_enough = F.when(F.size("__words") > 2, F.slice(
+        "__words", F.lit(2), F.least(F.size("__words") - 2, F.lit(probe_words)))).otherwise(F.raise_error(
+            F.concat(F.lit("phrase of fewer than three words: "), F.col("__phrase"))))
+    keyed = slug.withColumn("__probe", long_enough).select(
+        phrase_id, F.size("__probe").alias("__len"), F.hash(F.array_join("__probe", " ")).alias("__key"))
     lengths = keyed.agg(F.sort_array(F.collect_set("__len"))).scalar()  # at most probe_words values
-    tokens = texts.select(text_id, normalize_slug(F.col(text)).alias("__text")).withColumn(
-        "__tokens", F.filter(F.split("__text", " "), lambda w: w != ""))
-    runs = tokens.withColumn("__len", F.explode(F.coalesce(lengths, F.array().cast("array<int>")))).filter(
-        F.size("__tokens") >= F.col("__len"))
-    starts = F.sequence(F.lit(1), F.size("__tokens") - F.col("__len") + 1)
-    keys = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(
-        F.array_join(F.slice("__tokens", i, F.col("__len")), " "))))
-    offered = runs.select(text_id, "__len", F.explode(keys).alias("__key"))
-    candidates = offered.join(keyed.select(phrase_id, "__len", "__key"), ["__len", "__key"]).select(
-        text_id, phrase_id).distinct()
-    pairs = (candidates.join(tokens.select(text_id, "__text"), text_id)
+
+    def runs(tokens, length):
+        starts = F.sequence(F.lit(1), F.size(tokens) - length + 1)
+        return F.when(F.size(tokens) >= length, F.array_distinct(F.transform(
+            starts, lambda i: F.hash(F.array_join(F.slice(tokens, i, length), " ")))))
+
+    offered = (texts.select(text_id, F.split(normalize_slug(F.col(text)), " ").alias("__tokens"))
+               .withColumn("__len", F.explode(lengths))
+               .select(text_id, "__len", F.explode(runs(F.col("__tokens"), F.col("__len"))).alias("__key")))
+    candidates = offered.join(keyed, ["__len", "__key"]).select(text_id, phrase_id).distinct()
+    pairs = (candidates.join(texts.select(text_id, text), text_id)
              .join(slug.select(phrase_id, "__phrase"), phrase_id))
-    return pairs.filter(F.col("__text").contains(F.col("__phrase"))).select(text_id, phrase_id)
+    return pairs.filter(normalize_slug(F.col(text)).contains(F.col("__phrase"))).select(text_id, phrase_id)

@@ -1,10 +1,10 @@
-"""Exact ranks, running totals and quantiles that do not need a whole group in one task.
+"""Exact ranks, running totals and quantiles that do not need a large group in one task.
 
 A plain ``Window.partitionBy(group).orderBy(value)`` and the builtin exact ``percentile`` both
-put a group into a single task.  Here a large group is cut into value ranges by an approximate
-quantile sketch (bounded, merged map-side); the ranges are totalled in parallel and the range
-totals give each range its offset.  The cut points only decide how work is spread, so results
-are exact whatever the sketch says.
+put a group into a single task.  Here a group above a size limit is cut into value ranges by an
+approximate quantile sketch (bounded, merged map-side); the ranges are totalled in parallel and
+the range totals give each range its offset.  The cut points only decide how work is spread, so
+results are exact whatever the sketch says.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from panelspark.session import cut_lineage
+
 #: Groups with at most this many distinct values are ranked by one task.
 SPLIT_ROWS = 1_000_000
 RANGES = 256
@@ -22,18 +24,29 @@ def running_totals(df: DataFrame, group: Sequence[str], order: str, weight: str,
                    split_rows: int = SPLIT_ROWS, ranges: int = RANGES) -> DataFrame:
     """Add ``before`` (weight of all smaller ``order`` values) and ``total`` per group.
 
-    ``df`` has one row per (group, order) and a numeric, non-null ``order``.
+    ``df`` has one row per (group, order) and a numeric, non-null ``order``; it is read several
+    times, so it is materialised first.  Only groups above ``split_rows`` rows are split.
     """
     group = list(group)
-    cuts = F.percentile_approx(order, [i / ranges for i in range(1, ranges)], ranges * 20)
-    stats = df.groupBy(*group).agg(F.sum(weight).alias("total"), F.count("*").alias("__values"),
-                                   cuts.alias("__all_cuts"))
-    stats = stats.select(*group, "total", F.when(F.col("__values") > split_rows,
-                                                 F.col("__all_cuts")).alias("__cuts"))
+    rows = cut_lineage(df)
+    keys = group or [F.lit(1)]
+    stats = rows.groupBy(*group).agg(F.sum(weight).alias("total"), F.count("*").alias("__rows"))
+    largest = stats.agg(F.max("__rows")).first()[0] or 0
+    if largest <= split_rows:
+        whole = Window.partitionBy(*keys)
+        smaller = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return rows.withColumns({"total": F.sum(weight).over(whole),
+                                 "before": F.coalesce(F.sum(weight).over(smaller), F.lit(0))})
+
+    fractions = [i / ranges for i in range(1, ranges)]
+    cuts = F.percentile_approx(order, fractions, ranges * 20).alias("__cuts")
     if group:
-        measured = df.join(stats, group)
+        large = stats.filter(F.col("__rows") > split_rows).select(*group)
+        sketched = rows.join(large, group, "left_semi").groupBy(*group).agg(cuts)
+        measured = rows.join(stats.drop("__rows").join(sketched, group, "left"), group)
     else:
-        measured = df.withColumns({c: stats.select(c).scalar() for c in ("total", "__cuts")})
+        measured = rows.withColumns({"total": stats.select("total").scalar(),
+                                     "__cuts": rows.agg(cuts).scalar()})
     below = F.size(F.filter("__cuts", lambda cut: cut < F.col(order)))
     span = [*group, "__range"]
     # The explicit repartition matters: rows already partitioned by group would satisfy the
@@ -42,8 +55,8 @@ def running_totals(df: DataFrame, group: Sequence[str], order: str, weight: str,
               .drop("__cuts").repartition(*span))
     inside = Window.partitionBy(*span).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("__local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    across = Window.partitionBy(*(group or [F.lit(1)])).orderBy("__range").rowsBetween(
-        Window.unboundedPreceding, -1)
+    # At most ``ranges`` rows per group from here on.
+    across = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*span).agg(F.sum(weight).alias("__weight")).select(
         *span, F.coalesce(F.sum("__weight").over(across), F.lit(0)).alias("__offset"))
     return local.join(offsets, span).withColumn(

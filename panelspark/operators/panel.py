@@ -245,13 +245,15 @@ LAND_COVER_METRICS = (
 
 def panel_change(snapshot: DataFrame, metrics: Sequence[ChangeMetric] = LAND_COVER_METRICS,
                  horizons: Sequence[int] = pn.HORIZONS, unit: str = "codigo_ibge",
-                 year: str = "year", carry: Sequence[str] = ()) -> DataFrame:
+                 year: str = "year", carry: Sequence[str] = (),
+                 years_from: DataFrame | None = None) -> DataFrame:
     """Change of each metric against the first year and each horizon, in one aggregation.
 
     First and latest year are global.  A unit missing any reference year has no row.  A
-    percentage is null where the base is zero.
+    percentage is null where the base is zero.  ``years_from`` is a cheaper table with the same
+    years, for a snapshot that is not stored.
     """
-    bounds = snapshot.agg(F.min(year).cast("int").alias("first"), F.max(year).cast("int").alias("latest"))
+    bounds = (snapshot if years_from is None else years_from).agg(F.min(year).cast("int").alias("first"), F.max(year).cast("int").alias("latest"))
     first, latest = bounds.select("first").scalar(), bounds.select("latest").scalar()
     at = {"first": F.col("__first"), "latest": F.col("__latest"),
           **{h: F.col("__latest") - h for h in horizons}}

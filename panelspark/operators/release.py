@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from panelspark.operators.keys import key_comparison_counts
-from panelspark.quality.checks import side_by_side
 
 
 def _digest(value) -> str:
@@ -89,15 +89,16 @@ def schema_change_rows(previous: DataFrame, current: DataFrame) -> DataFrame:
 def release_impact(previous: dict[str, tuple[DataFrame, str]],
                    current: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """One row: for each label the distinct keys added and removed between two releases."""
-    spark = next(iter(current.values()))[0].sparkSession
-    measures = {}
+    parts = []
     for label, (now, key) in current.items():
         before, old_key = previous[label]
         counts = key_comparison_counts(now.select(F.col(key).alias("k")),
                                        before.select(F.col(old_key).alias("k")), ["k"])
-        measures[f"{label}_added"] = (counts, F.max("left_only"))
-        measures[f"{label}_removed"] = (counts, F.max("right_only"))
-    return side_by_side(spark, measures)
+        parts.append(counts.select(F.lit(label).alias("label"), F.col("left_only").alias("added"),
+                                   F.col("right_only").alias("removed")))
+    rows = reduce(lambda a, b: a.unionByName(b), parts)
+    return rows.agg(*[F.max(F.when(F.col("label") == label, F.col(side))).alias(f"{label}_{side}")
+                      for label in current for side in ("added", "removed")])
 
 
 def common_period_diff(previous: DataFrame, current: DataFrame, unit: str, year: str,

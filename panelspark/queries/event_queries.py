@@ -42,9 +42,10 @@ def unit_profile_flat(spark, folder):
     """Flagship: every unit with its latest panel year and its event history."""
     from panelspark.operators.panel import panel_snapshot
 
-    snap = panel_snapshot(panel(spark, folder), F.col("class_id") != "N",
-                          {"urban": F.col("class_id") == "R"}, unit="unit", match=None, area="area")
-    latest = snap.filter(F.col("year") == snap.agg(F.max("year")).scalar()).select(
+    rows = panel(spark, folder)
+    latest_rows = rows.filter(F.col("year") == rows.agg(F.max("year")).scalar())
+    latest = panel_snapshot(latest_rows, F.col("class_id") != "N", {"urban": F.col("class_id") == "R"},
+                            unit="unit", match=None, area="area").select(
         "unit", F.col("year").alias("land_cover_year"), "urban_area_pct")
     history = snapshot(spark, folder).select("unit", "reference_date", "event_count",
                                              "flagged_event_count", "event_count_5y", "amount")

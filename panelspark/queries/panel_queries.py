@@ -97,7 +97,7 @@ def change(spark, folder):
         snapshot(spark, folder),
         (op.ChangeMetric("urban_area_ha", "urban"),
          op.ChangeMetric("native_area_ha", "native", (3,), full=False, pct=False)),
-        horizons=(1, 3, 5), unit="unit")
+        horizons=(1, 3, 5), unit="unit", years_from=panel(spark, folder))
 
 
 @query("panel_change", f"WITH {P}, {SNAP}, {_CHANGE} SELECT * FROM chg")

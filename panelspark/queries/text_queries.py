@@ -7,12 +7,17 @@ from pyspark.sql import functions as F
 from panelspark.functions import numbers as nu, text as tx
 from panelspark.operators import evidence, search
 from panelspark.queries.registry import query, table
+from panelspark.sources.readers import spread
 from panelspark.sources.pages import harvest_links, harvest_table_rows, page_text, url_path
 
 # SQL side of the accent folding; ß is the one letter of the texts that lower() leaves whole.
 _FOLD = "replace(strip_accents(lower({c})), 'ß', 'ss')"
 
 
+def documents(spark, folder):
+    return spread(table(spark, folder, "documents").select("doc_id", "text", "source"), "doc_id")
+
+
 def _fold(column):
     return _FOLD.format(c=column)
 
@@ -22,26 +27,26 @@ def _fold(column):
 def name_normalise(spark, folder):
     """Whole texts without accents and case, as digests."""
     name = tx.normalize_name(F.col("text"))
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", F.md5(name.cast("binary")).alias("digest"), F.length(name).cast("bigint").alias("chars"))
 
 
 @query("name_normalise_exact", f"""SELECT doc_id, md5(trim(regexp_replace({_fold('text')}, '\\s+', ' ', 'g'))) AS digest FROM documents""")
 def name_normalise_exact(spark, folder):
     """The same through the all-scripts Arrow function."""
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", F.md5(tx.normalize_exact("text").cast("binary")).alias("digest"))
 
 
 @query("slug_normalise", f"""SELECT doc_id, md5(trim(regexp_replace({_fold('text')}, '[^a-z0-9]+', ' ', 'g'))) AS digest FROM documents""")
 def slug_normalise(spark, folder):
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", F.md5(tx.normalize_slug(F.col("text")).cast("binary")).alias("digest"))
 
 
 @query("search_normalise", """SELECT doc_id, md5(trim(regexp_replace(strip_accents(lower(text)), '[,\\s]+', ' ', 'g'))) AS digest FROM documents""")
 def search_normalise(spark, folder):
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", F.md5(tx.normalize_search(F.col("text")).cast("binary")).alias("digest"))
 
 
@@ -50,7 +55,7 @@ def search_normalise(spark, folder):
   SELECT doc_id, item_id FROM d JOIN b ON contains(d.t, b.p)""")
 def mention_join(spark, folder):
     """Documents that hold a benchmark passage, found through a shared run of words."""
-    return evidence.mention_join(table(spark, folder, "documents"), "doc_id", "text",
+    return evidence.mention_join(documents(spark, folder), "doc_id", "text",
                                  table(spark, folder, "benchmark"), "item_id", "text")
 
 
@@ -58,7 +63,7 @@ def mention_join(spark, folder):
   ends_with(text, '.') OR ends_with(text, '!') AS any_suffix,
   CASE WHEN ends_with(source, '7') THEN '7' WHEN ends_with(source, '17') THEN '17' WHEN ends_with(source, '1') THEN '1' ELSE 'other' END AS label FROM documents""")
 def keyword_rules(spark, folder):
-    return table(spark, folder, "documents").select(
+    return documents(spark, folder).select(
         "doc_id", tx.contains_all(F.lower("text"), ("the", "on", "er")).alias("all_terms"),
         (F.col("text").endswith(".") | F.col("text").endswith("!")).alias("any_suffix"),
         evidence.first_suffix(F.col("source"), ("7", "17", "1"), "other").alias("label"))
@@ -251,7 +256,7 @@ def json_flatten(spark, folder):
   SELECT page_id, len(hrefs) AS links, len(list_distinct(hrefs)) AS distinct_links, list_min(hrefs) AS first_href FROM a WHERE len(hrefs) > 0""")
 def link_harvest(spark, folder):
     """Links of every page, whole pages parsed where they lie."""
-    links = harvest_links(table(spark, folder, "pages"))
+    links = harvest_links(spread(table(spark, folder, "pages"), "page_id"))
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("distinct_links"),
                                         F.min("href").alias("first_href"))
 
