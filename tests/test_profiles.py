@@ -123,13 +123,13 @@ def test_broken_inputs_are_refused(spark, tmp_path):
         export_profiles(twice, gold.legacy(spark), str(tmp_path / "a"))
     no_change = {**tables, "change": tables["change"].filter("codigo_ibge <> '4202404'")}
     with pytest.raises(Exception, match="change row missing for 4202404"):
-        profiles.unit_profiles(**no_change, legacy=gold.legacy(spark)).collect()
+        profiles.land_cover_section(no_change["dim"], no_change["history"], no_change["change"]).collect()
     no_survey = {**tables, "survey": tables["survey"].filter("codigo_ibge <> '4202404'")}
     with pytest.raises(Exception, match="survey row missing for 4202404"):
         profiles.unit_profiles(**no_survey, legacy=gold.legacy(spark)).collect()
     wrong_type = {**tables, "fact": tables["fact"].withColumn("atlas_type_id", F.lit(1).cast("short"))}
     with pytest.raises(Exception, match="outside the type catalogue"):
-        profiles.unit_profiles(**wrong_type, legacy=gold.legacy(spark)).collect()
+        profiles.flagged_events(wrong_type["fact"]).collect()
 
 
 def test_contract_rules_name_what_is_broken(spark):

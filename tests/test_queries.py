@@ -22,3 +22,16 @@ def test_query(spark, con, name):
 
 def test_entry_runs(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    df = entry_module.queries()["class_series"](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(l_returnflag,R)" in plan
+    assert "ReadSchema: struct<l_suppkey:bigint,l_quantity:double,l_returnflag:string,l_shipdate:timestamp_ntz>" in plan
+
+
+def test_events_are_aggregated_before_they_meet_the_units(spark):
+    df = entry_module.queries()["history_snapshot"](spark, FOLDER)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join LeftOuter") < plan.index("Aggregate [unit")
