@@ -89,34 +89,40 @@ def attribute_transfers(programs: DataFrame, program_proposals: DataFrame, propo
     return per_unit.join(actions, "code", "left").withColumn("attribution", F.lit(ATTRIBUTION))
 
 
+def word_runs(tokens: Column, length: Column) -> Column:
+    """Distinct hashes of every run of ``length`` words; null when there are fewer words."""
+    starts = F.sequence(F.lit(1), F.size(tokens) - length + 1)
+    return F.when(F.size(tokens) >= length, F.array_distinct(F.transform(
+        starts, lambda i: F.hash(F.array_join(F.slice(tokens, i, length), " ")))))
+
+
 def mention_join(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase_id: str,
                  phrase: str, probe_words: int = 8) -> DataFrame:
     """Pairs (text, phrase) where the normalised text holds the normalised phrase as a substring.
 
     A text that holds a phrase also holds, as whole words, every word of the phrase except
-    perhaps the first and the last.  A run of up to ``probe_words`` of these inner words is the
-    join key: phrases offer one key each, texts every run of the lengths that occur among the
-    phrases.  The substring test then decides.  Phrases with fewer than three words have no inner
-    word to look up, so they are refused.
+    perhaps the first and the last.  One run of up to ``probe_words`` of these inner words is the
+    phrase's join key: the run that the fewest other phrases contain, so phrases with a common
+    passage do not all meet the same texts.  Texts offer every run of the lengths in use; the
+    substring test then decides.  Equal phrases are looked up once.  Phrases with fewer than three
+    words have no inner word to look up, so they are refused.
     """
-    slug = phrases.select(phrase_id, normalize_slug(F.col(phrase)).alias("__phrase")).withColumn(
-        "__words", F.split("__phrase", " "))
-    long_enough = F.when(F.size("__words") > 2, F.slice(
-        "__words", F.lit(2), F.least(F.size("__words") - 2, F.lit(probe_words)))).otherwise(F.raise_error(
-            F.concat(F.lit("phrase of fewer than three words: "), F.col("__phrase"))))
-    keyed = slug.withColumn("__probe", long_enough).select(
-        phrase_id, F.size("__probe").alias("__len"), F.hash(F.array_join("__probe", " ")).alias("__key"))
+    slug = phrases.select(phrase_id, normalize_slug(F.col(phrase)).alias("__phrase"))
+    words = F.split("__phrase", " ")
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(
+        F.raise_error(F.concat(F.lit("phrase of fewer than three words: "), F.col("__phrase"))))
+    runs = (slug.select("__phrase").distinct().select("__phrase", inner.alias("__words"))
+            .withColumn("__len", F.least(F.size("__words"), F.lit(probe_words)))
+            .select("__phrase", "__len", F.explode(word_runs(F.col("__words"), F.col("__len"))).alias("__key")))
+    shared = runs.groupBy("__len", "__key").agg(F.count("*").alias("__n"))
+    keyed = (runs.join(shared, ["__len", "__key"]).groupBy("__phrase")
+             .agg(F.min(F.struct("__n", "__len", "__key")).alias("__probe"))
+             .select("__phrase", "__probe.__len", "__probe.__key"))
     lengths = keyed.agg(F.sort_array(F.collect_set("__len"))).scalar()  # at most probe_words values
-
-    def runs(tokens, length):
-        starts = F.sequence(F.lit(1), F.size(tokens) - length + 1)
-        return F.when(F.size(tokens) >= length, F.array_distinct(F.transform(
-            starts, lambda i: F.hash(F.array_join(F.slice(tokens, i, length), " ")))))
-
     offered = (texts.select(text_id, F.split(normalize_slug(F.col(text)), " ").alias("__tokens"))
                .withColumn("__len", F.explode(lengths))
-               .select(text_id, "__len", F.explode(runs(F.col("__tokens"), F.col("__len"))).alias("__key")))
-    candidates = offered.join(keyed, ["__len", "__key"]).select(text_id, phrase_id).distinct()
-    pairs = (candidates.join(texts.select(text_id, text), text_id)
-             .join(slug.select(phrase_id, "__phrase"), phrase_id))
-    return pairs.filter(normalize_slug(F.col(text)).contains(F.col("__phrase"))).select(text_id, phrase_id)
+               .select(text_id, "__len", F.explode(word_runs(F.col("__tokens"), F.col("__len"))).alias("__key")))
+    candidates = offered.join(keyed, ["__len", "__key"]).select(text_id, "__phrase")
+    pairs = candidates.join(texts.select(text_id, text), text_id).filter(
+        normalize_slug(F.col(text)).contains(F.col("__phrase")))
+    return pairs.join(slug, "__phrase").select(text_id, phrase_id)

@@ -103,23 +103,34 @@ def compare_copies(left: DataFrame, right: DataFrame, key: str,
     """Typed comparison of two copies of a table.
 
     ``comparators`` maps a field to its normalised left and right expressions, written over
-    columns ``l.<name>`` and ``r.<name>``.  One row per common key: one boolean per field
-    (null-safe) and ``all_fields_match``.
+    columns ``l.<name>`` and ``r.<name>``.  One row per common key and distinct content: one
+    boolean per field (null-safe), ``all_fields_match`` and ``pairs``, the number of row pairs it
+    stands for (1 where the key is unique on both sides).  Equal rows are merged before the join,
+    so a key repeated on both sides does not multiply.
     """
-    joined = left.alias("l").join(right.alias("r"), F.col(f"l.{key}") == F.col(f"r.{key}"))
-    flags = {name: a.eqNullSafe(b) for name, (a, b) in comparators.items()}
-    return joined.select(F.col(f"l.{key}").alias(key),
+    fields = {name: f"f{i}" for i, name in enumerate(comparators)}
+
+    def side(df: DataFrame, alias: str, index: int) -> DataFrame:
+        typed = df.alias(alias).select(F.col(f"{alias}.{key}").alias("__key"), *[
+            pair[index].alias(f"{alias}_{fields[name]}") for name, pair in comparators.items()])
+        return typed.groupBy(*typed.columns).agg(F.count("*").alias(f"{alias}_n"))
+
+    joined = side(left, "l", 0).join(side(right, "r", 1), "__key")
+    flags = {name: F.col(f"l_{f}").eqNullSafe(F.col(f"r_{f}")) for name, f in fields.items()}
+    return joined.select(F.col("__key").alias(key),
                          *[c.alias(f"{name}_matches") for name, c in flags.items()],
-                         reduce(lambda a, b: a & b, flags.values()).alias("all_fields_match"))
+                         reduce(lambda a, b: a & b, flags.values()).alias("all_fields_match"),
+                         (F.col("l_n") * F.col("r_n")).alias("pairs"))
 
 
 def mismatch_counts(compared: DataFrame) -> DataFrame:
-    """Mismatching rows per field of ``compare_copies`` output, plus compared and differing rows."""
+    """Mismatching row pairs per field of ``compare_copies`` output, plus compared and differing."""
     fields = [c for c in compared.columns if c.endswith("_matches")]
+    count = lambda condition: F.coalesce(F.sum(F.when(condition, F.col("pairs"))), F.lit(0))
     return compared.agg(
-        F.count("*").alias("compared_rows"),
-        F.count_if(~F.col("all_fields_match")).alias("differing_rows"),
-        *[F.count_if(~F.col(c)).alias(c.replace("_matches", "_differences")) for c in fields])
+        F.coalesce(F.sum("pairs"), F.lit(0)).alias("compared_rows"),
+        count(~F.col("all_fields_match")).alias("differing_rows"),
+        *[count(~F.col(f"`{c}`")).alias(c.replace("_matches", "_differences")) for c in fields])
 
 
 def counter_entries(df: DataFrame, key: Sequence[str], label: str, name: str,

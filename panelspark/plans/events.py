@@ -126,7 +126,8 @@ def event_checks(tables: dict[str, DataFrame], raw: DataFrame, dim: DataFrame, f
             "original_ids_missing_from_csv": (to_original, only("right_only")),
             "csv_ids_missing_from_corrected": (to_corrected, only("left_only")),
             "corrected_ids_missing_from_csv": (to_corrected, only("right_only")),
-            "corrected_rows_with_value_differences": (compared, F.count_if(~F.col("all_fields_match"))),
+            "corrected_rows_with_value_differences": (
+                compared, F.coalesce(F.sum(F.when(~F.col("all_fields_match"), F.col("pairs"))), F.lit(0))),
         }), "raw", "csv_and_workbook_event_sets_reconcile", "equal rows and ids, no value difference",
             lambda c: (c["original_rows"] == c["csv_rows"]) & (c["corrected_rows"] == c["csv_rows"])
             & (c["csv_ids_missing_from_original"] + c["original_ids_missing_from_csv"]

@@ -145,7 +145,7 @@ def typed_comparison(spark, folder):
 
 @query("typed_copy_diff", """SELECT o_orderkey AS id, true AS day_matches, NOT (o_totalprice > 400000) AS amount_matches, true AS count_matches,
   NOT (o_custkey > 1400 AND o_orderstatus <> 'P') AS label_matches,
-  NOT (o_totalprice > 400000) AND NOT (o_custkey > 1400 AND o_orderstatus <> 'P') AS all_fields_match FROM orders""")
+  NOT (o_totalprice > 400000) AND NOT (o_custkey > 1400 AND o_orderstatus <> 'P') AS all_fields_match, CAST(1 AS BIGINT) AS pairs FROM orders""")
 def typed_copy_diff(spark, folder):
     return typed_comparison(spark, folder)
 

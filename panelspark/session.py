@@ -43,7 +43,7 @@ def cut_lineage(df):
     context = df.sparkSession.sparkContext
     jvm_context = context._jsc.sc()
     if jvm_context.getCheckpointDir().isEmpty():
-        configured = context.getConf().get("spark.checkpoint.dir", None)
+        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if configured is None:
             if not context.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

@@ -97,6 +97,7 @@ def test_mentions_against_brute_force(spark):
     phrases = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(3, 6)))) for i in range(40)]
     phrases.append((99, "o rio ca"))  # begins and ends inside words
     texts.append((999, "Sao RIO casa"))
+    phrases.append((100, phrases[0][1]))  # the same phrase twice
     t = spark.createDataFrame(texts, "t int, text string")
     p = spark.createDataFrame(phrases, "p int, phrase string")
     for probe in (1, 2, 8):
@@ -119,3 +120,13 @@ def test_counter_entries_order(spark):
     df = spark.createDataFrame([("u", "b"), ("u", "a"), ("u", "c"), ("u", "c"), ("u", None)], "u string, t string")
     entries = keys.counter_entries(df, ["u"], "t", "types").first().types
     assert [(e.label, e.n) for e in entries] == [("c", 2), ("a", 1), ("b", 1)]
+
+
+def test_copies_with_a_hot_key_do_not_multiply(spark):
+    left = spark.createDataFrame([("hot", "1")] * 500 + [("hot", "2"), ("b", "3")], "k string, v string")
+    right = spark.createDataFrame([("hot", "1.0")] * 400 + [("b", "4.0")], "k string, v string")
+    compared = keys.compare_copies(left, right, "k", {
+        "v": (F.col("l.v").cast("double"), F.col("r.v").cast("double"))})
+    assert compared.count() == 3
+    row = keys.mismatch_counts(compared).first()
+    assert (row.compared_rows, row.differing_rows, row.v_differences) == (501 * 400 + 1, 401, 401)
