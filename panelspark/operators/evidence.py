@@ -118,7 +118,9 @@ def mention_join(texts: DataFrame, text_id: str, text: str, phrases: DataFrame,
     keyed = (runs.join(shared, ["__len", "__key"]).groupBy("__phrase")
              .agg(F.min(F.struct("__n", "__len", "__key")).alias("__probe"))
              .select("__phrase", "__probe.__len", "__probe.__key"))
-    lengths = keyed.agg(F.sort_array(F.collect_set("__len"))).scalar()  # at most probe_words values
+    # At most ``probe_words`` values.
+    lengths = slug.agg(F.sort_array(F.collect_set(
+        F.least(F.size(words) - 2, F.lit(probe_words))))).scalar()
     offered = (texts.select(text_id, F.split(normalize_slug(F.col(text)), " ").alias("__tokens"))
                .withColumn("__len", F.explode(lengths))
                .select(text_id, "__len", F.explode(word_runs(F.col("__tokens"), F.col("__len"))).alias("__key")))
