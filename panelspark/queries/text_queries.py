@@ -185,15 +185,15 @@ def locale_numbers(spark, folder):
 
 
 @query("census_indicator", """SELECT c_custkey AS id, c_name AS name, upper(substr(c_mktsegment, 1, 2)) AS uf,
-  CASE WHEN c_acctbal >= 0 THEN round(c_acctbal / 100, 2) END AS connected,
-  CASE WHEN c_acctbal >= 0 THEN round(100 - round(c_acctbal / 100, 2), 2) END AS outside FROM customer""")
+  CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS connected,
+  CASE WHEN c_acctbal >= 0 THEN round(100 - c_acctbal, 2) END AS outside FROM customer""")
 def census_indicator(spark, folder):
     """Label split, numeric-text guard (negative values are no plain number) and complement."""
-    balance = F.round(F.col("c_acctbal") / 100, 2)
     rows = table(spark, folder, "customer").select(
         F.col("c_custkey").alias("id"),
         F.concat_ws(" - ", F.col("c_name"), F.upper(F.substring("c_mktsegment", 1, 2))).alias("label"),
-        F.when(F.col("c_acctbal") < 0, "-").otherwise(balance.cast("decimal(18,2)").cast("string")).alias("v"))
+        F.when(F.col("c_acctbal") < 0, "-").otherwise(
+            F.col("c_acctbal").cast("decimal(18,2)").cast("string")).alias("v"))
     name, uf = tx.split_label(F.col("label"))
     value = nu.numeric_text(F.col("v"))
     return rows.select("id", name.alias("name"), uf.alias("uf"), F.round(value, 2).alias("connected"),
