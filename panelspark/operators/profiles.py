@@ -11,11 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from panelspark.functions import states as st
 from panelspark.functions.numbers import json_number, percentage
 from panelspark.operators import benchmark as bm
-from panelspark.operators.events import annual_series, type_breakdown
+from panelspark.operators.events import region_yearly_average, type_breakdown, yearly_counts
 from panelspark.operators.panel import hide_missing_references
 from panelspark.operators.shards import (document_overhead, entry_bytes, pack_shards, shard_name)
 from panelspark.presets import events as ev, panel as pn, profiles as pf, survey as sv, units as un
-from panelspark.sources.contracts import require
 
 UNIT = "codigo_ibge"
 IMPACTS = ("deaths", "injured", "homeless", "displaced", "missing", "reported_affected_total")
@@ -51,9 +50,8 @@ def types_section(dim: DataFrame, types: DataFrame, rain: DataFrame, snapshot: D
     totals = snapshot.select(UNIT, F.col("rain_related_event_count").alias("total"))
     rows = type_breakdown(dim, by_code, UNIT, "atlas_type_id", catalogue(dim.sparkSession),
                           TYPE_MEASURES, totals=totals)
-    fields = [c for c in rows.columns]
     item = F.struct((-F.col("event_count")).alias("n"), F.col("atlas_type_id").alias("i"),
-                    record(**{c: F.col(c) for c in fields}).alias("item"))
+                    record(**{c: F.col(c) for c in rows.columns}).alias("item"))
     return rows.groupBy(UNIT).agg(
         F.transform(F.sort_array(F.collect_list(item)), lambda e: e["item"]).alias("types"),
         *[F.sum(c).alias(f"total_{c}") for c in TYPE_MEASURES],
@@ -61,40 +59,60 @@ def types_section(dim: DataFrame, types: DataFrame, rain: DataFrame, snapshot: D
 
 
 def months_section(dim: DataFrame, months: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Per unit twelve ordered months; a repeated month is an error."""
+    """Per unit twelve ordered months; a repeated month is an error.
+
+    The observed months of a unit travel as one small map; the twelve entries are made from it
+    without a row per unit and month.
+    """
     once = months.groupBy(UNIT, F.col("month").cast("int").alias("month")).agg(
-        F.count("*").alias("__n"), F.sum("event_count").alias("event_count"),
-        F.sum("rain_related_event_count").alias("rain_related_event_count"))
-    grid = dim.select(UNIT, F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-    rows = grid.join(once, [UNIT, "month"], "left").join(
-        snapshot.select(UNIT, F.col("rain_related_event_count").alias("__total")), UNIT, "left")
-    unique = lambda c: F.when(F.coalesce("__n", F.lit(1)) == 1, F.coalesce(F.col(c), F.lit(0))).otherwise(
-        F.raise_error(F.concat(F.lit("month profile repeated for "), F.col(UNIT))))
-    rain = unique("rain_related_event_count")
-    item = F.struct(F.col("month").alias("m"), record(
-        month=F.col("month"), event_count=unique("event_count"), rain_related_event_count=rain,
-        event_pct=percentage(rain, F.col("__total"))).alias("item"))
-    return rows.groupBy(UNIT).agg(F.transform(
-        F.sort_array(F.collect_list(item)), lambda e: e["item"]).alias("months"))
+        F.count("*").alias("rows"), F.sum("event_count").alias("events"),
+        F.sum("rain_related_event_count").alias("rain"))
+    repeated = F.raise_error(F.concat(F.lit("month profile repeated for "), F.col(UNIT)))
+    observed = once.groupBy(UNIT).agg(F.map_from_entries(F.collect_list(F.struct(
+        "month", F.when(F.col("rows") == 1, F.struct("events", "rain")).otherwise(repeated)))).alias("observed"))
+    rows = (dim.select(UNIT).join(observed, UNIT, "left").join(
+        snapshot.select(UNIT, F.col("rain_related_event_count").alias("total")), UNIT, "left"))
+
+    def entry(month):
+        seen = F.try_element_at("observed", month)
+        rain = F.coalesce(seen["rain"], F.lit(0))
+        return record(month=month, event_count=F.coalesce(seen["events"], F.lit(0)),
+                      rain_related_event_count=rain, event_pct=percentage(rain, F.col("total")))
+
+    return rows.select(UNIT, F.transform(F.sequence(F.lit(1), F.lit(12)), entry).alias("months"))
 
 
 def annual_section(dim: DataFrame, rain: DataFrame) -> DataFrame:
-    """Per unit the total and per-type yearly series with the region's average."""
+    """Per unit the total and per-type yearly series with the region's average.
+
+    The dense series exist once per region; a unit adds its own counts from a map, so nothing
+    is shuffled per unit, year and type except the observed counts.
+    """
     region = "codigo_regiao_imediata"
-    rows = annual_series(dim, rain, UNIT, region, "event_year", "atlas_type_id",
-                         ev.RAIN_TYPE_IDS, TOTAL)
-    point = F.struct(F.col("year").alias("y"), record(
-        year=F.col("year"), municipal_event_count=F.col("n"),
-        immediate_region_average_event_count=F.col("average")).alias("point"))
-    series = rows.groupBy(UNIT, "type").agg(
-        F.transform(F.sort_array(F.collect_list(point)), lambda e: e["point"]).alias("points"),
+    averages = region_yearly_average(dim, rain, UNIT, region, "event_year", "atlas_type_id",
+                                     ev.RAIN_TYPE_IDS, TOTAL)
+    per_type = averages.groupBy(region, "type").agg(
+        F.sort_array(F.collect_list(F.struct("year", "average"))).alias("points"),
         F.min("year").alias("lo"), F.max("year").alias("hi"), F.max("members").alias("members"))
-    item = F.struct(F.col("type").alias("t"), record(
-        atlas_type_id=F.nullif(F.col("type"), F.lit(TOTAL)), points=F.col("points")).alias("item"))
-    return series.groupBy(UNIT).agg(
-        F.transform(F.sort_array(F.collect_list(item)), lambda e: e["item"]).alias("series"),
+    per_region = per_type.groupBy(region).agg(
+        F.sort_array(F.collect_list(F.struct("type", "points"))).alias("dense"),
         F.min("lo").alias("first_year"), F.max("hi").alias("latest_year"),
         F.max("members").alias("members"))
+    own = yearly_counts(rain, UNIT, "event_year", "atlas_type_id", TOTAL).groupBy(UNIT).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.struct("type", "year"), "n"))).alias("own"))
+    joined = dim.select(UNIT, region).join(per_region, region).join(own, UNIT, "left")
+
+    def one_series(series):
+        def point(p):
+            key = F.struct(series["type"].alias("type"), p["year"].alias("year"))
+            return record(year=p["year"], immediate_region_average_event_count=p["average"],
+                          municipal_event_count=F.coalesce(F.try_element_at("own", key), F.lit(0)))
+
+        return record(atlas_type_id=F.nullif(series["type"], F.lit(TOTAL)),
+                      points=F.transform(series["points"], point))
+
+    return joined.select(UNIT, "first_year", "latest_year", "members",
+                         F.transform("dense", one_series).alias("series"))
 
 
 HISTORY = ("year", "mapped_area_ha", "urban_area_ha", "urban_area_pct", "native_vegetation_area_ha",

@@ -81,7 +81,7 @@ def _apply(steps, used: int) -> tuple[int, int]:
     from bisect import bisect_left
 
     uppers, rows = steps
-    upto, out, shift, shards = rows[bisect_left(uppers, used)]
+    _, out, shift, shards = rows[bisect_left(uppers, used)]
     return (used + shift, 0) if out is None else (out, shards)
 
 
@@ -96,7 +96,7 @@ def _table(pdf):
 def _compose(first, second):
     """Steps of "first, then second"."""
     out, low = [], 0
-    uppers, rows = second
+    rows = second[1]
     for upto, used, shift, shards in first[1]:
         if used is not None:
             after, more = _apply(second, used)
@@ -148,7 +148,7 @@ def _descend_run(pdf):
 def _number_items(pdf):
     import numpy as np
 
-    pdf, fixed, cap, running, stop = _starts(pdf)
+    pdf, _, cap, running, stop = _starts(pdf)
     used, opened, n = int(pdf["used"].iloc[0]), int(pdf["opened"].iloc[0]), len(pdf)
     part = np.full(n, opened, np.int64)
     i = int(np.searchsorted(running, cap - used, side="right")) - 1

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from panelspark.operators import events as op, keys
 from panelspark.operators.benchmark import metric_rows, peer_benchmark
-from panelspark.queries.registry import E, P, SNAP, TYPES, U, as_double, events, panel, query, table, units
+from panelspark.queries.registry import E, P, SNAP, TYPES, U, as_double, events, panel, query, units
 
 _HISTORY = """SELECT u.unit, (SELECT max(day) FROM ev) AS reference_date,
   min(day) AS first_event_date, max(day) AS latest_event_date, count(event_id) AS event_count,

@@ -9,7 +9,7 @@ from panelspark.quality import checks as q
 from panelspark.queries.event_queries import month_profile, snapshot as event_snapshot, type_summary
 from panelspark.queries.key_queries import typed_comparison
 from panelspark.queries.panel_queries import snapshot as panel_snapshot
-from panelspark.queries.registry import E, P, SNAP, TYPES, U, events, panel, query, table, units
+from panelspark.queries.registry import E, P, SNAP, TYPES, events, panel, query, table, units
 
 
 def _observed(df, *labels):

@@ -18,12 +18,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def replace_on_success(df_spark: SparkSession, path: str, write) -> None:
+def replace_on_success(spark: SparkSession, path: str, write) -> None:
     """Write to a staging path and swap it in only once the whole write has succeeded."""
     staged = f"{path.rstrip('/')}.staging-{uuid4().hex[:12]}"
     write(staged)
-    target, fs = _filesystem(df_spark, path)
-    staged_path, _ = _filesystem(df_spark, staged)
+    target, fs = _filesystem(spark, path)
+    staged_path, _ = _filesystem(spark, staged)
     if fs.exists(target):
         fs.delete(target, True)
     if not fs.rename(staged_path, target):

@@ -1,4 +1,4 @@
-"""Nine units with every kind of absence, as the published tables."""
+"""Nine units with every kind of absence, as the published tables (fixed values)."""
 
 from __future__ import annotations
 

@@ -153,3 +153,10 @@ def test_leap_day_boundary_is_strict(spark):
     assert str(rows["4202404"].reference_date) == "2026-02-28"
     assert rows["4202404"].rain_event_count_10y == 1 and rows["4202404"].rain_event_count == 2
     assert rows["1200013"].event_count == 0 and rows["1200013"].first_event_date is None
+
+
+def test_repeated_months_are_refused(spark):
+    tables = gold.gold_tables(spark)
+    twice = tables["months"].unionByName(tables["months"].filter("month = 8"))
+    with pytest.raises(Exception, match="month profile repeated for 4202404"):
+        profiles.months_section(tables["dim"], twice, tables["snapshot"]).collect()
