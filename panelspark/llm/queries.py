@@ -10,8 +10,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from panelspark.llm.bpe import count_proposal_tokens
 from panelspark.llm.common import read_table
+from panelspark.llm.decontaminate import find_evaluation_items
+from panelspark.llm.mixing import mix_narratives
 from panelspark.llm.simhash import link_similar_proposals
+from panelspark.llm.topk import nearest_profiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,9 +37,74 @@ def proposals(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("ID_PROPOSTA"), F.col("text").alias("OBJETO_PROPOSTA"))
 
 
+@query("op1_topk", sql="""
+WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum([z[1] * z[2] FOR z IN list_zip(q.v, c.v)]), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""")
+def op1_topk(spark, folder):
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    units = (read_table(spark, folder, "embeddings").filter(F.col("embedding").isNotNull() & finite)
+             .select(F.col("vec_id").alias("codigo_ibge"),
+                     F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("perfil")))
+    best = nearest_profiles(units, units.filter(F.col("codigo_ibge") % 50 == 0))
+    return best.select(F.col("query").alias("query_id"), "rank", F.col("codigo_ibge").alias("vec_id"), "score")
+
+
+@query("op3_token_counts")
+def op3_token_counts(spark, folder):
+    import public_tokenizers
+
+    counted = count_proposal_tokens(proposals(spark, folder), public_tokenizers.path("word_bpe_49k.json"))
+    return counted.withColumnRenamed("ID_PROPOSTA", "doc_id")
+
+
 @query("op4_simhash")
 def op4_simhash(spark, folder):
     linked = link_similar_proposals(proposals(spark, folder))
     return linked.select(F.col("ID_PROPOSTA").alias("doc_id"),
                          F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"),
                          F.col("component").alias("component_id"))
+
+
+@query("op8_mixing", sql=r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [3.0, 1.0, 2.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS weight,
+  source_size * 2.0::DOUBLE AS cap, sum(source_size) OVER () * 1.5::DOUBLE AS wanted FROM s),
+l AS (SELECT *, (wanted - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
+  / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
+f AS (SELECT *, (SELECT arg_min(level, cap / weight) FROM l WHERE cap > level * weight) AS final FROM l),
+t AS (SELECT source, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * weight) END AS target FROM f),
+r AS (SELECT *, CASE WHEN source_size = 0 THEN 0.0 ELSE least(target / source_size, 2.0) END AS rate FROM t),
+c AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.rate, CAST(floor(r.rate) AS INTEGER)
+  + CASE WHEN CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE
+    < r.rate - floor(r.rate) THEN 1 ELSE 0 END AS copies FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, target, copies, size * copies AS taken FROM c""")
+def op8_mixing(spark, folder):
+    events = read_table(spark, folder, "documents").select(
+        F.col("doc_id").alias("Protocolo_S2iD"), F.col("source").alias("regiao"), F.col("text").alias("DH_Descricao"))
+    return mix_narratives(events).withColumnRenamed("Protocolo_S2iD", "doc_id")
+
+
+@query("op10_decontamination", sql=r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS g
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM iw WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM dw),
+occ AS (SELECT p.doc_id, p.i, l.n, array_to_string(list_slice(p.w, p.i, p.i + l.n - 1), ' ') AS g FROM pos p, lens l WHERE p.i + l.n - 1 <= len(p.w)),
+hit AS (SELECT o.doc_id, o.i, o.n, win.item_id FROM occ o JOIN win ON o.n = win.n AND o.g = win.g),
+nh AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY doc_id),
+ni AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM dw d LEFT JOIN nh USING (doc_id) LEFT JOIN ni USING (doc_id)""")
+def op10_decontamination(spark, folder):
+    found = find_evaluation_items(proposals(spark, folder), read_table(spark, folder, "benchmark"))
+    return found.select(F.col("ID_PROPOSTA").alias("doc_id"), "n_words", "n_hit",
+                        F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
