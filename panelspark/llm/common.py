@@ -93,3 +93,27 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.select(b.alias("node"), b.alias("root")).distinct()
     return edges.select(a.alias("node"), b.alias("root")).unionByName(roots)
+
+
+_WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
+              for c in range(256))
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """Runs of digits, letters and non-ASCII characters, lower-cased in A-Z."""
+    return (text or b"").translate(_WORD).split()
+
+
+def labelled_sample(texts: DataFrame, labels: DataFrame, id: str, text: str, label: str, limit: int) -> DataFrame:
+    """(text, label) of about ``limit`` labelled rows at most, chosen by a hash of the id.
+
+    An id with several labels counts once, with the larger one.  The chosen labels are bounded by
+    ``limit``, so they are broadcast and the texts are filtered where they lie.
+    """
+    usable = (labels.filter(F.col(id).isNotNull() & F.col(label).isin(0, 1))
+              .groupBy(F.col(id).alias("labelled")).agg(F.max(label).alias(label)))
+    held = usable.count()
+    parts = 1 << 30
+    chosen = F.pmod(F.xxhash64("labelled"), F.lit(parts)) < int(parts * min(1.0, limit / max(1, held)))
+    rows = texts.select(F.col(id).alias("labelled"), F.col(text))
+    return rows.join(F.broadcast(usable.filter(chosen)), "labelled").select(text, label)

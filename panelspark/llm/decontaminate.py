@@ -9,19 +9,12 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import text_or_empty
+from panelspark.llm.common import text_or_empty, words_of
 
 WINDOW = 13
 COVERAGE = 20
 BLOCK_WORDS = 200_000
 
-_WORD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32
-              for c in range(256))
-
-
-def words_of(text: bytes | None) -> list[bytes]:
-    return (text or b"").translate(_WORD).split()
-
 
 class Known(dict):
     """Word numbers; 0 for a word of no item."""

@@ -14,8 +14,10 @@ from panelspark.llm.bpe import count_proposal_tokens
 from panelspark.llm.common import read_table
 from panelspark.llm.decontaminate import find_evaluation_items
 from panelspark.llm.mixing import mix_narratives
+from panelspark.llm.quality import proposal_quality
 from panelspark.llm.simhash import link_similar_proposals
 from panelspark.llm.topk import nearest_profiles
+from panelspark.llm.toxicity import proposal_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +39,21 @@ def proposals(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("ID_PROPOSTA"), F.col("text").alias("OBJETO_PROPOSTA"))
 
 
+HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def training_labels(spark: SparkSession, folder: str, label: str) -> DataFrame:
+    """Labels of the rows that may be learnt from."""
+    return (read_table(spark, folder, "labels").filter(~HELD_OUT)
+            .select(F.col("doc_id").alias("ID_PROPOSTA"), F.col(label).alias("label")))
+
+
+def judged(scored: DataFrame, threshold: float) -> DataFrame:
+    return scored.select(F.col("ID_PROPOSTA").alias("doc_id"), "score").select(
+        "doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
 @query("op1_topk", sql="""
 WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
   FROM embeddings WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
@@ -53,6 +70,12 @@ def op1_topk(spark, folder):
     return best.select(F.col("query").alias("query_id"), "rank", F.col("codigo_ibge").alias("vec_id"), "score")
 
 
+@query("op2_toxicity")
+def op2_toxicity(spark, folder):
+    scored = proposal_toxicity(proposals(spark, folder), training_labels(spark, folder, "toxic"))
+    return judged(scored, 0.5)
+
+
 @query("op3_token_counts")
 def op3_token_counts(spark, folder):
     import public_tokenizers
@@ -69,6 +92,12 @@ def op4_simhash(spark, folder):
                          F.col("component").alias("component_id"))
 
 
+@query("op7_quality")
+def op7_quality(spark, folder):
+    scored = proposal_quality(proposals(spark, folder), training_labels(spark, folder, "quality"))
+    return judged(scored, 0.3)
+
+
 @query("op8_mixing", sql=r"""
 WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
