@@ -14,6 +14,7 @@ from panelspark.llm.bpe import count_proposal_tokens
 from panelspark.llm.common import read_table
 from panelspark.llm.decontaminate import find_evaluation_items
 from panelspark.llm.mixing import mix_narratives
+from panelspark.llm.passages import repeated_passages
 from panelspark.llm.quality import proposal_quality
 from panelspark.llm.simhash import link_similar_proposals
 from panelspark.llm.topk import nearest_profiles
@@ -118,6 +119,29 @@ def op8_mixing(spark, folder):
     return mix_narratives(events).withColumnRenamed("Protocolo_S2iD", "doc_id")
 
 
+@query("op9_passages", sql=r"""
+WITH u AS (SELECT doc_id, i, piece, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop,
+    trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS norm
+  FROM (SELECT doc_id, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i
+    FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS p FROM documents))),
+r AS (SELECT *, stop - length(piece) AS start, row_number() OVER (PARTITION BY norm ORDER BY doc_id, stop) AS place FROM u
+  WHERE len(string_split(norm, ' ')) >= 5),
+x AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_removed, CAST(sum(stop - start) AS BIGINT) AS chars_removed FROM r WHERE place > 1 GROUP BY doc_id),
+g AS (SELECT doc_id, start, stop, CASE WHEN start = lag(stop) OVER (PARTITION BY doc_id ORDER BY start) THEN 0 ELSE 1 END AS opens FROM r WHERE place > 1),
+h AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM g),
+j AS (SELECT doc_id, run, min(start) AS start, max(stop) AS stop FROM h GROUP BY doc_id, run),
+k AS (SELECT doc_id, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed FROM j GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(chars_removed, 0) AS chars_removed,
+  coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def op9_passages(spark, folder):
+    found = repeated_passages(proposals(spark, folder))
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return found.select(F.col("ID_PROPOSTA").alias("doc_id"), "n_units", "n_removed", "chars_removed",
+                        F.array_join(spans, ",").alias("removed"))
+
+
 @query("op10_decontamination", sql=r"""
 WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
