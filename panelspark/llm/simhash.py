@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from panelspark.llm.common import components, map_texts, text_or_empty
+from panelspark.llm.hamming import BUCKET, close_pairs, mask_of
 from panelspark.session import cut_lineage
 
 SEED = 42
 WORDS = 3
 DISTANCE = 2
-BUCKET = 48
 
 _LOWER = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _PIECE = 1 << 15
@@ -44,74 +44,17 @@ def fingerprints(texts: list[bytes | None], words: int = WORDS, seed: int = SEED
     return out.view(np.int64)
 
 
-def _mask(bits: range | list[int]) -> int:
-    value = sum(1 << b for b in bits)
-    return value - (1 << 64) if value >> 63 else value
-
-
-def _ring_masks() -> list[int]:
+def ring_masks() -> list[int]:
     """Bits that must agree: one segment of the ring and either half of the next one."""
     segments = [list(range(0, 22)), list(range(22, 43)), list(range(43, 64))]
     masks = []
     for i, segment in enumerate(segments):
         following = segments[(i + 1) % 3]
         half = len(following) // 2
-        masks += [_mask(segment + following[:half]), _mask(segment + following[half:])]
+        masks += [mask_of(segment + following[:half]), mask_of(segment + following[half:])]
     return masks
 
 
-def _refined(mask: int) -> list[int]:
-    """Masks that agree on two of four parts of the bits ``mask`` leaves open (two bits can spoil two parts)."""
-    free = [b for b in range(64) if not (mask >> b) & 1]
-    parts = [free[len(free) * k // 4:len(free) * (k + 1) // 4] for k in range(4)]
-    return [mask | _mask(parts[i] + parts[j]) for i in range(4) for j in range(i + 1, 4)]
-
-
-def _first_agreeing(diff: Column, masks: list[int], slot: Column) -> Column:
-    """Whether ``slot`` is the first of ``masks`` on which the pair agrees, so that it is found once."""
-    earlier = F.lit(True)
-    for k in range(len(masks) - 1):
-        earlier = earlier & ((slot <= k) | (diff.bitwiseAND(F.lit(masks[k])) != 0))
-    return earlier
-
-
-def _by_level(prints: DataFrame, bucket: int) -> DataFrame:
-    """Pairs (a, b) of ids whose fingerprints differ in at most two bits.
-
-    ``prints`` has one row (node, fp) per distinct fingerprint.  Buckets above ``bucket`` rows are
-    cut again by two of four parts of the open bits (32 -> 16 -> 8 open bits); with eight open bits
-    a bucket has at most 256 distinct fingerprints, so every bucket that is paired is bounded and
-    no candidate is dropped.
-    """
-    rows = prints.select("node", "fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("mask"))
-    found, tables = None, {0: _ring_masks()}
-    for level in range(3):
-        options = F.create_map(*[x for path, masks in tables.items() for x in (
-            F.lit(path), F.array(*[F.lit(m) for m in masks]))])[F.col("path")]
-        keyed = (rows.select("node", "fp", "path", F.posexplode(options).alias("slot", "mask"))
-                 .withColumn("key", F.col("fp").bitwiseAND(F.col("mask"))))
-        size = (keyed.groupBy("path", "slot", "key").agg(F.count(F.lit(1)).alias("n"))
-                .filter("n > 1"))
-        keyed = keyed.join(size, ["path", "slot", "key"])
-        small = keyed if level == 2 else keyed.filter(F.col("n") <= bucket)
-        left = small.select("path", "slot", "key", F.col("node").alias("a"), F.col("fp").alias("fa"))
-        right = small.select("path", "slot", "key", F.col("node").alias("b"), F.col("fp").alias("fb"))
-        diff = F.col("fa").bitwiseXOR(F.col("fb"))
-        once = F.lit(False)
-        for path, masks in tables.items():
-            once = once | ((F.col("path") == path) & _first_agreeing(diff, masks, F.col("slot")))
-        pairs = (left.join(right, ["path", "slot", "key"])
-                 .filter((F.col("fa") < F.col("fb")) & (F.bit_count(diff) <= DISTANCE) & once)
-                 .select("a", "b"))
-        found = pairs if found is None else found.unionByName(pairs)
-        if level < 2:
-            rows = keyed.filter(F.col("n") > bucket).select(
-                "node", "fp", (F.col("path") * 6 + F.col("slot") + 1).alias("path"), "mask")
-            tables = {path * 6 + k + 1: _refined(m) for path, masks in tables.items()
-                      for k, m in enumerate(masks)}
-    return found
-
-
 def link_similar_proposals(proposals: DataFrame, id: str = "ID_PROPOSTA", text: str = "OBJETO_PROPOSTA",
                            bucket: int = BUCKET) -> DataFrame:
     """Fingerprint and group of near-identical objects for every transfer proposal.
@@ -128,7 +71,9 @@ def link_similar_proposals(proposals: DataFrame, id: str = "ID_PROPOSTA", text:
     # Few bytes per row leave this stage; everything after works on them.
     rows = cut_lineage(map_texts(rows, lambda texts: {"fp": fingerprints(texts)}, "fp long"))
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("node").alias("node")))
-    roots = components(_by_level(prints.filter("node IS NOT NULL"), bucket)).withColumnRenamed("root", "component")
+    # Large buckets are cut by two of four parts of their open bits: 32, 16, then 8 open bits.
+    links = close_pairs(prints.filter("node IS NOT NULL"), DISTANCE, ring_masks(), parts=4, levels=3, bucket=bucket)
+    roots = components(links).withColumnRenamed("root", "component")
     groups = (prints.join(roots, "node", "left")
               .select("fp", F.coalesce("component", "node").alias("component")))
     return rows.join(groups, "fp").select(F.col("node").alias(id), F.col("fp").alias("fingerprint"), "component")
