@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from panelspark.llm.bpe import count_proposal_tokens
 from panelspark.llm.common import read_table
 from panelspark.llm.decontaminate import find_evaluation_items
+from panelspark.llm.lines import repeated_lines
 from panelspark.llm.mixing import mix_narratives
 from panelspark.llm.passages import repeated_passages
 from panelspark.llm.quality import proposal_quality
@@ -93,6 +94,13 @@ def op4_simhash(spark, folder):
                          F.col("component").alias("component_id"))
 
 
+@query("op5_lines")
+def op5_lines(spark, folder):
+    found = repeated_lines(proposals(spark, folder))
+    return found.select(F.col("ID_PROPOSTA").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"),
+                        F.array_join("removed", ",").alias("removed_lines"))
+
+
 @query("op7_quality")
 def op7_quality(spark, folder):
     scored = proposal_quality(proposals(spark, folder), training_labels(spark, folder, "quality"))
