@@ -18,6 +18,7 @@ from panelspark.llm.mixing import mix_narratives
 from panelspark.llm.passages import repeated_passages
 from panelspark.llm.quality import proposal_quality
 from panelspark.llm.simhash import link_similar_proposals
+from panelspark.llm.suffixes import repeated_bytes
 from panelspark.llm.topk import nearest_profiles
 from panelspark.llm.toxicity import proposal_toxicity
 
@@ -101,6 +102,28 @@ def op5_lines(spark, folder):
                         F.array_join("removed", ",").alias("removed_lines"))
 
 
+@query("op6_suffixes", sql="""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS g FROM (SELECT doc_id, x, unnest(range(0, n - 49)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT g, min(doc_id) AS m FROM w GROUP BY g HAVING min(doc_id) < max(doc_id)),
+h AS (SELECT w.doc_id, w.i FROM w JOIN f USING (g) WHERE f.m < w.doc_id),
+o AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS opens FROM h),
+u AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+r AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM u GROUP BY doc_id, run),
+p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS start FROM r),
+k AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS stop,
+    string_agg(substr(d.x, 2 * p.start + 1, 2 * (p.a - p.start)), '' ORDER BY p.a) AS kept FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(stop, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""")
+def op6_suffixes(spark, folder):
+    found = repeated_bytes(proposals(spark, folder))
+    return found.select(
+        F.col("ID_PROPOSTA").alias("doc_id"), "n_bytes",
+        F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"]).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op7_quality")
 def op7_quality(spark, folder):
     scored = proposal_quality(proposals(spark, folder), training_labels(spark, folder, "quality"))
