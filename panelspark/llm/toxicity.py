@@ -87,7 +87,7 @@ def fit_toxicity(labelled: DataFrame, text: str = "OBJETO_PROPOSTA", label: str
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept, -1)), pa.array(np.append(weights, bias))],
                                          names=["slot", "weight"])
 
-    model = (rows.mapInArrow(slots, "slots binary, y double").coalesce(1)
+    model = (rows.mapInArrow(slots, "slots binary, y double").repartition(1)
              .mapInArrow(train, "slot long, weight double").toPandas())
     kept = model[model.slot >= 0].sort_values("slot")
     return kept.slot.to_numpy(), kept.weight.to_numpy(), float(model[model.slot < 0].weight.sum())
