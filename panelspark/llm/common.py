@@ -60,6 +60,21 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict[str, list]], schema: str)
     return df.mapInArrow(run, f"{first}, {schema}")
 
 
+def append_columns(df: DataFrame, text: str, fn: Callable[[list], dict[str, list]], schema: str) -> DataFrame:
+    """All columns of ``df``, and those that ``fn`` makes of the whole texts (null: empty) of each batch."""
+    place = df.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                out = fn([t or b"" for t in batch.column(place).cast(pa.large_binary()).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v) for v in out.values())],
+                                                 names=[*batch.schema.names, *out])
+
+    held = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{held}, {schema}")
+
+
 def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): the smallest node it can reach.
 

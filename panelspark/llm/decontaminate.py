@@ -175,7 +175,7 @@ def find_evaluation_items(proposals: DataFrame, items: DataFrame, id: str = "ID_
     """Where proposal texts repeat evaluation items.
 
     The reference has no evaluation items, so ``items`` is any table with an id and a text.
-    Returns one row per proposal row: ``id``, ``n_words``, ``spans`` (word positions [first, last)
+    Returns one row per proposal row: ``id``, ``tag`` (xxhash64 of the text), ``n_words``, ``spans`` (word positions [first, last)
     inside occurrences of an item's window of ``window`` consecutive words; an item with fewer
     words is one window), ``items`` (sorted ids, as strings, of items with an occurring window),
     ``n_hit`` and ``contaminated`` (some word is hit and ``coverage * n_hit >= n_words``).
@@ -188,7 +188,7 @@ def find_evaluation_items(proposals: DataFrame, items: DataFrame, id: str = "ID_
     items = items.select(F.col(item_id).cast("string").alias("item"), text_or_empty(item_text).alias("text"))
     total = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // (4 * block_words)))
-    rows = proposals.select(F.col(id), text_or_empty(text).alias("body"))
+    rows = proposals.select(F.col(id), F.xxhash64(text_or_empty(text)).alias("tag"), text_or_empty(text).alias("body"))
 
     def block(k: int) -> list[tuple]:
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
@@ -198,18 +198,17 @@ def find_evaluation_items(proposals: DataFrame, items: DataFrame, id: str = "ID_
         found = _search_block(rows, block(0), window)
     else:
         # Rows of the same id and text have the same result in every block.
-        rows = rows.withColumn("digest", F.sha2("body", 256))
         parts = None
         for k in range(blocks):
             part = _search_block(rows, block(k), window)
             parts = part if parts is None else parts.unionByName(part)
-        found = (parts.groupBy(id, "digest").agg(
+        found = (parts.groupBy(id, "tag").agg(
             F.max("n_words").alias("n_words"),
             F.flatten(F.collect_set("spans")).alias("spans"), F.flatten(F.collect_set("items")).alias("items"))
             .withColumn("spans", _merged(F.col("spans"))).withColumn("items", F.array_sort(F.array_distinct("items"))))
-        keys = rows.select(F.col(id).alias("key"), F.col("digest").alias("same"))
-        found = (keys.join(found, F.col("key").eqNullSafe(F.col(id)) & (F.col("same") == F.col("digest")))
-                 .select(id, "n_words", "spans", "items"))
+        keys = rows.select(F.col(id).alias("key"), F.col("tag").alias("same"))
+        found = (keys.join(found, F.col("key").eqNullSafe(F.col(id)) & (F.col("same") == F.col("tag")))
+                 .select(id, "tag", "n_words", "spans", "items"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return (found.withColumn("n_hit", hit)
             .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * coverage >= F.col("n_words"))))

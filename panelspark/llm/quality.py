@@ -5,8 +5,7 @@ from __future__ import annotations
 from operator import eq
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.llm.common import labelled_sample, map_texts, text_or_empty
 
@@ -108,28 +107,29 @@ def fit_trees(x: np.ndarray, y: np.ndarray, bins: int = BINS, depth: int = DEPTH
     return model
 
 
-def fit_quality(labelled: DataFrame, text: str = "OBJETO_PROPOSTA", label: str = "label") -> Trees:
+def fit_quality(proposals: DataFrame, labels: DataFrame, id: str = "ID_PROPOSTA", text: str = "OBJETO_PROPOSTA",
+                label: str = "label", sample: int = SAMPLE) -> Trees:
     """Trees learnt from a bounded sample of labelled texts; the driver gets their statistics only."""
+    labelled = labelled_sample(proposals, labels, id, text, label, sample)
     rows = labelled.select(F.col(label).cast("double").alias("y"), text_or_empty(text).alias("body"))
     stats = map_texts(rows, lambda texts: {"x": [list(map(float, statistics(t))) for t in texts]},
                       "x array<double>").toPandas()
     x = np.array(stats.x.tolist()).reshape(len(stats), len(STATISTICS))
     y = stats.y.to_numpy(dtype=float)
+    # Rows arrive in no fixed order; training must not depend on it.
     order = np.lexsort((y, *x.T)) if len(y) else []
     return fit_trees(x[order], y[order])
 
 
-def score_quality(proposals: DataFrame, model: Trees, id: str = "ID_PROPOSTA",
-                  text: str = "OBJETO_PROPOSTA") -> DataFrame:
-    """``id`` and ``score`` in (0, 1) of every row's whole text."""
-    shared = proposals.sparkSession.sparkContext.broadcast(
-        (model.edges, model.base, model.feature, model.cut, model.leaf))
+def quality_scores(spark: SparkSession, model: Trees):
+    """What scores the whole texts of a batch with the broadcast arrays of ``model``."""
+    shared = spark.sparkContext.broadcast((model.edges, model.base, model.feature, model.cut, model.leaf))
 
     def score(texts):
         x = np.array([statistics(t) for t in texts]).reshape(len(texts), -1)
-        return {"score": Trees(*shared.value).score(x)}
+        return {"stage_score": Trees(*shared.value).score(x)}
 
-    return map_texts(proposals.select(F.col(id), text_or_empty(text).alias("body")), score, "score double")
+    return score
 
 
 def proposal_quality(proposals: DataFrame, labels: DataFrame, id: str = "ID_PROPOSTA",
@@ -141,5 +141,7 @@ def proposal_quality(proposals: DataFrame, labels: DataFrame, id: str = "ID_PROP
     Returns ``id`` and ``score``, one row per input row.  Without usable labels every score is 0.5.
     Null and empty texts are scored by the statistics of an empty text.  No text is shuffled.
     """
-    labelled = labelled_sample(proposals, labels, id, text, label, sample)
-    return score_quality(proposals, fit_quality(labelled, text, label), id, text)
+    model = fit_quality(proposals, labels, id, text, label, sample)
+    rows = proposals.select(F.col(id), text_or_empty(text).alias("body"))
+    scored = map_texts(rows, quality_scores(proposals.sparkSession, model), "stage_score double")
+    return scored.withColumnRenamed("stage_score", "score")

@@ -14,7 +14,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import components, map_texts, text_or_empty
+from panelspark.llm.common import append_columns, components, text_or_empty
 from panelspark.llm.hamming import BUCKET, close_pairs, mask_of
 from panelspark.session import cut_lineage
 
@@ -59,8 +59,9 @@ def link_similar_proposals(proposals: DataFrame, id: str = "ID_PROPOSTA", text:
                            bucket: int = BUCKET) -> DataFrame:
     """Fingerprint and group of near-identical objects for every transfer proposal.
 
-    Returns one row per input row: ``id``, ``fingerprint`` (signed 64-bit), ``component`` (the
-    smallest id reachable over links of at most two differing bits, its own included).
+    Returns one row per input row: ``id``, ``tag`` (xxhash64 of the text), ``fingerprint`` (signed
+    64-bit), ``component`` (the smallest id reachable over links of at most two differing bits, its
+    own included).
 
     Texts are lower-cased in A-Z, cut into words at ASCII white space and into three-word shingles
     (repeats count, fewer words make one shingle).  Null and empty texts have fingerprint 0 and are
@@ -69,11 +70,12 @@ def link_similar_proposals(proposals: DataFrame, id: str = "ID_PROPOSTA", text:
     """
     rows = proposals.select(F.col(id).alias("node"), text_or_empty(text).alias("body"))
     # Few bytes per row leave this stage; everything after works on them.
-    rows = cut_lineage(map_texts(rows, lambda texts: {"fp": fingerprints(texts)}, "fp long"))
+    rows = append_columns(rows, "body", lambda texts: {"fp": fingerprints(texts)}, "fp long")
+    rows = cut_lineage(rows.select("node", "fp", F.xxhash64("body").alias("tag")))
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("node").alias("node")))
     # Large buckets are cut by two of four parts of their open bits: 32, 16, then 8 open bits.
     links = close_pairs(prints.filter("node IS NOT NULL"), DISTANCE, ring_masks(), parts=4, levels=3, bucket=bucket)
     roots = components(links).withColumnRenamed("root", "component")
     groups = (prints.join(roots, "node", "left")
               .select("fp", F.coalesce("component", "node").alias("component")))
-    return rows.join(groups, "fp").select(F.col("node").alias(id), F.col("fp").alias("fingerprint"), "component")
+    return rows.join(groups, "fp").select(F.col("node").alias(id), "tag", F.col("fp").alias("fingerprint"), "component")
