@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.llm.bpe import count_proposal_tokens
 from panelspark.llm.common import read_table
@@ -42,18 +42,20 @@ def proposals(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("ID_PROPOSTA"), F.col("text").alias("OBJETO_PROPOSTA"))
 
 
-HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+def held_out() -> Column:
+    """Rows that are never learnt from; a null id is not one of them."""
+    return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
 
 
 def training_labels(spark: SparkSession, folder: str, label: str) -> DataFrame:
     """Labels of the rows that may be learnt from."""
-    return (read_table(spark, folder, "labels").filter(~HELD_OUT)
+    return (read_table(spark, folder, "labels").filter(~held_out())
             .select(F.col("doc_id").alias("ID_PROPOSTA"), F.col(label).alias("label")))
 
 
 def judged(scored: DataFrame, threshold: float) -> DataFrame:
     return scored.select(F.col("ID_PROPOSTA").alias("doc_id"), "score").select(
-        "doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), "score",
+        "doc_id", held_out().alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
