@@ -24,7 +24,7 @@ def agreeing(mask: int, parts: int, spoilt: int) -> list[int]:
 
 def _options(tables: dict[int, list[int]]) -> Column:
     """The masks of a row's path, as a literal looked up by ``path``."""
-    listed = ", ".join(f"{path}, array({', '.join(f'{m}L' if m >= 0 else f'({m}L)' for m in masks)})"
+    listed = ", ".join(f"{path}, CAST(array({', '.join(f'{m}L' for m in masks)}) AS array<bigint>)"
                        for path, masks in tables.items())
     return F.element_at(F.expr(f"map({listed})"), F.col("path"))
 
@@ -41,7 +41,8 @@ def close_pairs(prints: DataFrame, distance: int, masks: list[int], parts: int,
     in the first bucket that holds it only.
     """
     rows = prints.select("node", "fp", F.lit(0).alias("path"))
-    tables, found = {0: masks}, None
+    # Per path: the masks of its buckets, and those of the buckets that come before the path's own.
+    tables, before, found = {0: masks}, {0: []}, None
     for level in range(levels):
         last, width = level == levels - 1, max(map(len, tables.values()))
         options = _options(tables)
@@ -53,7 +54,8 @@ def close_pairs(prints: DataFrame, distance: int, masks: list[int], parts: int,
         left = small.select("path", "slot", "key", F.col("node").alias("a"), F.col("fp").alias("fa"))
         right = small.select("path", "slot", "key", F.col("node").alias("b"), F.col("fp").alias("fb"))
         diff = F.col("fa").bitwiseXOR(F.col("fb"))
-        earlier = F.exists(F.slice(options, F.lit(1), F.col("slot")), lambda m: diff.bitwiseAND(m) == 0)
+        passed = F.concat(_options(before), F.slice(options, F.lit(1), F.col("slot")))
+        earlier = F.exists(passed, lambda m: diff.bitwiseAND(m) == 0)
         pairs = (left.join(right, ["path", "slot", "key"])
                  .filter((F.col("fa") < F.col("fb")) & (F.bit_count(diff) <= distance)).filter(~earlier)
                  .select("a", "b"))
@@ -61,6 +63,8 @@ def close_pairs(prints: DataFrame, distance: int, masks: list[int], parts: int,
         if not last:
             rows = keyed.filter(F.col("n") > bucket).select(
                 "node", "fp", (F.col("path") * width + F.col("slot") + 1).alias("path"))
+            before = {path * width + k + 1: before[path] + chosen[:k]
+                      for path, chosen in tables.items() for k in range(len(chosen))}
             tables = {path * width + k + 1: agreeing(m, parts, distance)
                       for path, chosen in tables.items() for k, m in enumerate(chosen)}
     return found

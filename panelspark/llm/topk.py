@@ -118,7 +118,8 @@ def nearest_profiles(units: DataFrame, queries: DataFrame, id: str = "codigo_ibg
 
     def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         column = table.column("v").combine_chunks()
-        values = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+        values = column.flatten().to_numpy(zero_copy_only=False)
+        values = values.reshape(len(column), -1) if len(column) else np.zeros((0, 0), np.int64)
         keys = table.column("id").combine_chunks()
         return values, np.asarray(keys.to_pylist()), keys
 
