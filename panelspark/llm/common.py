@@ -5,12 +5,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.session import cut_lineage
 
 ROUNDS = 60
+FILTER_BITS = 1 << 26
+FILTER_CHUNKS = 1024
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -75,6 +79,57 @@ def append_columns(df: DataFrame, text: str, fn: Callable[[list], dict[str, list
     return df.mapInArrow(run, f"{held}, {schema}")
 
 
+def _slots(values: np.ndarray) -> np.ndarray:
+    """Two places in a filter for each 64-bit value."""
+    shift = np.uint64(64 - FILTER_BITS.bit_length() + 1)
+    lead = (values ^ (values >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    return np.stack([lead >> shift, (lead * np.uint64(0x94D049BB133111EB)) >> shift]).astype(np.int64)
+
+
+def fixed_filter(values: DataFrame) -> bytes:
+    """A filter of fixed size that passes every value of a one-column frame of longs.
+
+    It only saves moving rows that cannot matter: a wrong pass costs work and never changes a result,
+    and the filter passes more as it fills up on more data.  Tasks send their bits, never values;
+    bits meet in two steps, so that what one task reads is bounded by the tasks of a share of them.
+    """
+    chunk_bits = FILTER_BITS // FILTER_CHUNKS
+
+    def mark(batches):
+        bits, share = np.zeros(FILTER_BITS, bool), TaskContext.get().partitionId() % 64
+        for batch in batches:
+            found = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            bits[_slots(found).ravel()] = True
+        parts = bits.reshape(FILTER_CHUNKS, chunk_bits)
+        used = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used, pa.int32()), pa.array(np.full(len(used), share), pa.int32()),
+             pa.array([np.packbits(parts[c]).tobytes() for c in used], pa.binary())], names=["chunk", "share", "bits"])
+
+    def merge(table: pa.Table) -> pa.Table:
+        bits = np.zeros(chunk_bits // 8, np.uint8)
+        for blob in table.column("bits").to_pylist():
+            bits |= np.frombuffer(blob, np.uint8)
+        return table.slice(0, 1).set_column(2, "bits", pa.array([bits.tobytes()], pa.binary()))
+
+    schema = "chunk int, share int, bits binary"
+    marked = values.mapInArrow(mark, schema)
+    for keys in (["chunk", "share"], ["chunk"]):
+        marked = marked.groupBy(*keys).applyInArrow(merge, schema)
+    held = bytearray(FILTER_BITS // 8)
+    for row in marked.collect():
+        at = row.chunk * chunk_bits // 8
+        held[at:at + len(row.bits)] = row.bits
+    return bytes(held)
+
+
+def filter_passes(values: np.ndarray, held: bytes) -> np.ndarray:
+    """Which unsigned 64-bit values a filter passes."""
+    table = np.frombuffer(held, np.uint8)
+    one, two = ((table[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1 for s in _slots(values))
+    return (one & two) == 1
+
+
 def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, root) for every node of ``links`` (a, b): the smallest node it can reach.
 

@@ -65,7 +65,7 @@ def link_similar_proposals(proposals: DataFrame, id: str = "ID_PROPOSTA", text:
 
     Texts are lower-cased in A-Z, cut into words at ASCII white space and into three-word shingles
     (repeats count, fewer words make one shingle).  Null and empty texts have fingerprint 0 and are
-    linked like any other.  Rows that repeat an id are all returned.  A row with a null id takes the
+    linked like any other.  Rows that repeat an id are all returned, each judged by its own text.  A row with a null id takes the
     group of its fingerprint (null if no other row has one).  Other columns are ignored.
     """
     rows = proposals.select(F.col(id).alias("node"), text_or_empty(text).alias("body"))
@@ -74,8 +74,9 @@ def link_similar_proposals(proposals: DataFrame, id: str = "ID_PROPOSTA", text:
     rows = cut_lineage(rows.select("node", "fp", F.xxhash64("body").alias("tag")))
     prints = cut_lineage(rows.groupBy("fp").agg(F.min("node").alias("node")))
     # Large buckets are cut by two of four parts of their open bits: 32, 16, then 8 open bits.
-    links = close_pairs(prints.filter("node IS NOT NULL"), DISTANCE, ring_masks(), parts=4, levels=3, bucket=bucket)
-    roots = components(links).withColumnRenamed("root", "component")
-    groups = (prints.join(roots, "node", "left")
-              .select("fp", F.coalesce("component", "node").alias("component")))
+    links = close_pairs(prints.select("fp"), DISTANCE, ring_masks(), parts=4, levels=3, bucket=bucket)
+    groups = (prints.join(components(links).withColumnRenamed("node", "fp"), "fp", "left")
+              .select("fp", "node", F.coalesce("root", "fp").alias("root")))
+    least = groups.groupBy("root").agg(F.min("node").alias("component"))
+    groups = groups.join(least, "root").select("fp", "component")
     return rows.join(groups, "fp").select(F.col("node").alias(id), "tag", F.col("fp").alias("fingerprint"), "component")

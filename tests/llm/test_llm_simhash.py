@@ -31,7 +31,7 @@ def groups(rows):
         changed = False
         for f in root:
             for g in root:
-                if (f ^ g).bit_count() <= 2 or least[f] == least[g]:
+                if (f ^ g).bit_count() <= 2:
                     if root[g] < root[f]:
                         root[f] = root[g]
                         changed = True
@@ -59,8 +59,9 @@ def test_every_close_pair_is_found_once(spark, bucket):
             prints.add(base ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 3))))
     prints = sorted(prints)
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame(list(enumerate(signed)), "node long, fp long")
+    df = spark.createDataFrame([(s,) for s in signed], "fp long")
+    number = {s: i for i, s in enumerate(signed)}
     for distance, masks, parts in ((2, ring_masks(), 4), (3, agreeing(0, 5, 3), 6)):
         want = {(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= distance}
-        got = [tuple(sorted((r.a, r.b), reverse=True)) for r in close_pairs(df, distance, masks, parts, 3, bucket).collect()]
+        got = [tuple(sorted((number[r.a], number[r.b]), reverse=True)) for r in close_pairs(df, distance, masks, parts, 3, bucket).collect()]
         assert len(got) == len(set(got)) and set(got) == want
