@@ -10,25 +10,22 @@ equal passages off adjacent common prefixes.
 
 from __future__ import annotations
 
-import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from panelspark.llm.common import stage_table, text_or_empty
+from panelspark.llm.common import filter_passes, fixed_filter, text_or_empty
 from panelspark.session import cut_lineage
 
 LENGTH = 50
 GRAM = 16
 PIECE = 1 << 22
-BLOCK = 1 << 21
-FILTER_BITS = 1 << 26
-CHUNK_BITS = 1 << 16
-PARTS = 256
-LARGE = 20_000
-NO_ID = np.iinfo(np.int64).max
+STRIP = 1 << 16
+PART_BYTES = 1 << 22
+CROWDED = 20_000
 
 _M1, _M2, _M3 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9))
 
@@ -58,58 +55,73 @@ def window_minima(h: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(h[:-rest], h[rest:]) if rest else h
 
 
+def passage_minima(data: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """The anchor of the passage that starts at each place, worked out in strips that fit a cache."""
+    n = len(data) - length + 1
+    return np.concatenate([window_minima(gram_hashes(data[at:at + STRIP + length - 1]), length - GRAM + 1)
+                           for at in range(0, n, STRIP)]) if n > 0 else np.zeros(0, np.uint64)
+
+
 def segments_of(texts: list[bytes], length: int = LENGTH):
     """(joined bytes, text number, first passage's place in the joined bytes, passages, anchor) of all segments."""
     data = np.frombuffer(b"".join(texts), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    starts = np.concatenate(([0], np.cumsum(sizes)))
-    low = window_minima(gram_hashes(data), length - GRAM + 1)
-    # The text that each passage starts in; passages that run into the next text do not count.
-    owner = np.repeat(np.arange(len(texts), dtype=np.int64), sizes)[:len(low)]
-    ok = np.arange(len(low)) + length <= starts[owner + 1]
+    ends = np.cumsum(sizes)
+    low = passage_minima(data, length)
+    # Passages that run into the next text do not count, and a segment ends with its text.
+    ok = np.ones(len(low) + length, bool)
+    for end in ends.tolist():
+        ok[max(0, end - length + 1):end] = False
+    ok = ok[:len(low)]
     fresh = np.ones(len(low), bool)
-    fresh[1:] = (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])
+    fresh[1:] = (low[1:] != low[:-1]) | ~ok[:-1]
     at = np.flatnonzero(fresh & ok)
-    ends = np.flatnonzero(ok & np.concatenate(((fresh | ~ok)[1:], [True])))
-    return data, owner[at], at, ends - at + 1, low[at]
+    last = np.flatnonzero(ok & np.concatenate(((fresh | ~ok)[1:], [True]))) if len(low) else at
+    return data, np.searchsorted(ends, at, side="right"), at, last - at + 1, low[at]
 
 
-def _pieces(batches, columns: int = 2):
-    """Batches cut so that about PIECE bytes of text are in work at once: (ids, texts, rest)."""
+def _pieces(batches):
+    """Batches cut so that about PIECE bytes of text are in work at once."""
     for batch in batches:
-        sizes = np.cumsum([len(t) for t in batch.column(1).cast(pa.large_binary()).to_pylist()]) if batch.num_rows else []
+        sizes = np.cumsum(np.fromiter((len(t.as_buffer()) for t in batch.column("body").cast(pa.large_binary())), np.int64, batch.num_rows))
         lo = 0
         while lo < batch.num_rows:
-            base = sizes[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(sizes, base + PIECE)))
-            yield batch.slice(lo, hi - lo)
+            hi = max(lo + 1, int(np.searchsorted(sizes, (sizes[lo - 1] if lo else 0) + PIECE)))
+            part = batch.slice(lo, hi - lo)
+            yield part, part.column("body").cast(pa.large_binary()).to_pylist()
             lo = hi
 
 
-# ---- which anchors occur in more than one text -------------------------------------------------
+def _parts_of(anchor: np.ndarray, parts: int) -> np.ndarray:
+    """Sorted anchors' parts: even ranges of the leading bits."""
+    return (anchor >> np.uint64(33)).astype(np.int64) * parts >> 31
+
 
-def _anchor_parts(batches):
-    """Distinct anchors of each piece by part: those of one text, and those of several."""
-    for piece in _pieces(batches):
-        _, owner, _, _, anchor = segments_of(piece.column(1).cast(pa.large_binary()).to_pylist())
-        order = np.lexsort((owner, anchor))
+# ---- which anchors can matter -------------------------------------------------------------------
+
+def _anchor_parts(batches, parts: int):
+    """Distinct anchors of each piece by part, with how often they occur and whether in several texts."""
+    for _, texts in _pieces(batches):
+        _, owner, _, _, anchor = segments_of(texts)
+        order = np.argsort(anchor, kind="stable")
         anchor, owner = anchor[order], owner[order]
         edge = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1]))) if len(anchor) else np.zeros(0, np.int64)
-        last = np.concatenate((edge[1:], [len(anchor)])).astype(np.int64) - 1
-        several, anchor = owner[edge] != owner[last], anchor[edge]
-        # Anchors are sorted, so a part is a range of their leading bits.
-        cuts = np.searchsorted(anchor, np.arange(PARTS + 1, dtype=np.float64) * 2.0 ** 64 / PARTS)
-        parts = [p for p in range(PARTS) if cuts[p] < cuts[p + 1]]
+        size = np.diff(np.concatenate((edge, [len(anchor)]))).astype(np.int64)
+        several = owner[edge] != owner[edge + size - 1]
+        anchor = anchor[edge]
+        # One text: 1 whatever it repeats; several texts: the number of places.
+        count = np.minimum(np.where(several, size, 1), 255).astype(np.uint8)
+        part = _parts_of(anchor, parts)
+        used, first = np.unique(part, return_index=True)
+        cuts = list(zip(first.tolist(), np.append(first[1:], len(part)).tolist()))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(parts, pa.int32()),
-             pa.array([_six(anchor[cuts[p]:cuts[p + 1]]) for p in parts], pa.binary()),
-             pa.array([_six(anchor[cuts[p]:cuts[p + 1]][several[cuts[p]:cuts[p + 1]]]) for p in parts], pa.binary())],
-            names=["part", "anchors", "several"])
+            [pa.array(used), pa.array([_six(anchor[a:b]) for a, b in cuts], pa.binary()),
+             pa.array([count[a:b].tobytes() for a, b in cuts], pa.binary())], names=["part", "anchors", "counts"])
 
 
 def _six(values: np.ndarray) -> bytes:
     """The leading six bytes of each value: enough to tell anchors apart before the exact search."""
-    return values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    return np.ascontiguousarray(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
 def _unsix(blob: bytes) -> np.ndarray:
@@ -118,53 +130,18 @@ def _unsix(blob: bytes) -> np.ndarray:
     return wide.view(">u8").ravel().astype(np.uint64)
 
 
-def _slots(anchor: np.ndarray) -> np.ndarray:
-    """Two places in the filter for each anchor."""
-    lead = (anchor >> np.uint64(16)) * _M1
-    return np.stack([lead >> np.uint64(64 - FILTER_BITS.bit_length() + 1),
-                     (lead * _M2) >> np.uint64(64 - FILTER_BITS.bit_length() + 1)])
-
-
-def _repeated_part(table: pa.Table) -> pa.Table:
-    """Filter chunks of the anchors of one part that occur in more than one text."""
-    every = np.concatenate([_unsix(b) for b in table.column("anchors").to_pylist()])
-    several = np.concatenate([_unsix(b) for b in table.column("several").to_pylist()])
-    values, counts = np.unique(every, return_counts=True)
-    slots = _slots(np.concatenate([values[counts > 1], several])).ravel().astype(np.int64)
-    slots = np.unique(slots)
-    chunk, place = slots // CHUNK_BITS, slots % CHUNK_BITS
-    edge = np.searchsorted(chunk, np.arange(FILTER_BITS // CHUNK_BITS + 1))
-    used = [c for c in range(FILTER_BITS // CHUNK_BITS) if edge[c] < edge[c + 1]]
-    return pa.table({"chunk": pa.array(used, pa.int32()),
-                     "places": pa.array([place[edge[c]:edge[c + 1]].astype("<u2").tobytes() for c in used], pa.binary())})
-
-
-def _chunk_bits(table: pa.Table) -> pa.Table:
-    bits = np.zeros(CHUNK_BITS, np.uint8)
-    for blob in table.column("places").to_pylist():
-        bits[np.frombuffer(blob, "<u2")] = 1
-    return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
-
+def _lead(anchor: np.ndarray) -> np.ndarray:
+    return anchor & ~np.uint64(0xFFFF)
 
-def repeated_anchors(rows: DataFrame) -> bytes:
-    """A filter of fixed size that passes every anchor found in more than one text.
 
-    It only saves moving passages that cannot repeat: a wrong pass costs work and never changes a
-    result, and a filter that fills up on more data passes more.
-    """
-    parts = rows.mapInArrow(_anchor_parts, "part int, anchors binary, several binary")
-    chunks = (parts.groupBy("part").applyInArrow(_repeated_part, "chunk int, places binary")
-              .groupBy("chunk").applyInArrow(_chunk_bits, "chunk int, bits binary").collect())
-    table = bytearray(FILTER_BITS // 8)
-    for row in chunks:
-        table[row.chunk * CHUNK_BITS // 8:(row.chunk + 1) * CHUNK_BITS // 8] = row.bits
-    return bytes(table)
-
-
-def _passing(anchor: np.ndarray, table: np.ndarray) -> np.ndarray:
-    one, two = (s.astype(np.int64) for s in _slots(anchor))
-    bit = lambda s: (table[s >> 3] >> (7 - (s & 7)).astype(np.uint8)) & 1
-    return (bit(one) & bit(two)) == 1
+def _several_of(table: pa.Table) -> pa.Table:
+    """Anchors of one part that occur in more than one text, and which of them are crowded."""
+    anchor = np.concatenate([_unsix(b) for b in table.column("anchors").to_pylist()])
+    count = np.concatenate([np.frombuffer(b, np.uint8) for b in table.column("counts").to_pylist()])
+    values, place = np.unique(anchor, return_inverse=True)
+    total = np.bincount(place, count, len(values))
+    found = total > 1
+    return pa.table({"v": pa.array(values[found].view(np.int64)), "n": pa.array(total[found].astype(np.int64))})
 
 
 # ---- suffix arrays ------------------------------------------------------------------------------
@@ -315,44 +292,151 @@ def _runs(owner, inside, least, limit):
     return owner[first], inside[first], inside[last], least[first]
 
 
-def _search(batches):
-    """Decisions for segments that arrive in order of their anchors."""
-    held: list[pa.RecordBatch] = []
-    size = 0
-
-    def solve(table: pa.Table) -> pa.RecordBatch:
-        ids, limit = table.column("low").to_numpy(), table.column("high").to_numpy()
-        segments = table.column("segment").to_pylist()
-        passages = np.fromiter((len(s) - LENGTH + 1 for s in segments), np.int64, len(segments))
-        owner, first, last, least = _runs(*earliest_ids(segments, passages, ids), limit)
-        take = pa.array(owner, pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [table.column("anchor").combine_chunks().take(take), table.column("digest").combine_chunks().take(take),
-             pa.array(first), pa.array(last), pa.array(least)], names=["anchor", "digest", "first", "last", "least"])
+# ---- segments on their way ----------------------------------------------------------------------
+
+def _digests(whole: bytes, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(whole[a:b], seed) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+def _segment_rows(piece: pa.RecordBatch, texts: list[bytes], repeated: bytes, crowded: bytes):
+    """The segments of a piece that may repeat, equal ones together: anchor, text span, digest, owner.
+
+    Segments of a crowded anchor are taken apart into single passages, which are dealt by their own
+    content, so that no task has to hold all texts around a very common string.
+    """
+    data, owner, at, passages, anchor = segments_of(texts)
+    keep = filter_passes(_lead(anchor), repeated)
+    owner, at, passages, anchor = owner[keep], at[keep], passages[keep], anchor[keep]
+    whole = data.tobytes()
+    if crowded:
+        many = filter_passes(_lead(anchor), crowded)
+        if many.any():
+            n = passages[many]
+            place = np.repeat(at[many], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            own = _digests(whole, place, place + LENGTH, 1)
+            owner, at = np.concatenate((owner[~many], np.repeat(owner[many], n))), np.concatenate((at[~many], place))
+            passages = np.concatenate((passages[~many], np.ones(len(place), np.int64)))
+            anchor = np.concatenate((anchor[~many], own))
+    ends = at + passages + LENGTH - 1
+    digest = _digests(whole, at, ends)
+    ids = piece.column("id").to_numpy()[owner]
+    order = np.lexsort((ids, digest, anchor))
+    owner, at, ends, anchor, digest, ids = (x[order] for x in (owner, at, ends, anchor, digest, ids))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (anchor[1:] != anchor[:-1]) | (digest[1:] != digest[:-1])
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.concatenate((first, [len(order)]))).astype(np.int64)
+    place = at - np.concatenate(([0], np.cumsum([len(t) for t in texts])))[owner]
+    return whole, owner, at, ends, anchor, digest, ids, place, first, size
+
+
+def _pack(*arrays) -> bytes:
+    return zlib.compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays), 1)
+
+
+def _leaders(batches, parts: int, repeated: bytes, crowded: bytes):
+    """One packed row per piece and part: its different segments, with the place of those met once."""
+    for piece, texts in _pieces(batches):
+        whole, owner, at, ends, anchor, _, ids, place, first, size = _segment_rows(piece, texts, repeated, crowded)
+        high = ids[first + size - 1]
+        tags = piece.column("tag").to_numpy()[owner[first]]
+        at, ends, anchor, low = at[first], ends[first], anchor[first], ids[first]
+        # Segments met in several texts of the piece get their answer through a join instead.
+        place = np.where(size > 1, -1, place[first])
+        part = _parts_of(anchor, parts)
+        used, start = np.unique(part, return_index=True)
+        cuts = list(zip(start.tolist(), np.append(start[1:], len(part)).tolist()))
+        text = [zlib.compress(b"".join([whole[x:y] for x, y in zip(at[a:b].tolist(), ends[a:b].tolist())]), 1) for a, b in cuts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array(np.array([b - a for a, b in cuts], np.int64)),
+             pa.array([anchor[a:b].tobytes() for a, b in cuts], pa.binary()), pa.array(text, pa.binary()),
+             pa.array([_pack((ends - at)[a:b], low[a:b], high[a:b] - low[a:b], place[a:b]) for a, b in cuts], pa.binary()),
+             pa.array([np.where(place[a:b] < 0, 0, tags[a:b]).tobytes() for a, b in cuts], pa.binary())],
+            names=["part", "n", "anchors", "text", "numbers", "tags"])
+
+
+def _followers(batches, repeated: bytes, crowded: bytes):
+    """Places of segments that several texts of a piece share."""
+    for piece, texts in _pieces(batches):
+        _, owner, _, _, anchor, digest, ids, place, _, size = _segment_rows(piece, texts, repeated, crowded)
+        many = np.repeat(size, size) > 1
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(anchor[many].view(np.int64)), pa.array(digest[many].view(np.int64)), pa.array(ids[many]),
+             pa.array(piece.column("tag").to_numpy()[owner[many]]), pa.array(place[many])],
+            names=["anchor", "digest", "id", "tag", "at"])
+
+
+def _solve(rows: list[dict]) -> pa.RecordBatch:
+    """Answers for all segments of one part: spans of segments met once, decisions for the rest."""
+    anchors, sizes, lows, highs, places, tags, texts = [], [], [], [], [], [], []
+    for row in rows:
+        numbers = np.frombuffer(zlib.decompress(row["numbers"]), np.int64).reshape(4, row["n"])
+        anchors.append(np.frombuffer(row["anchors"], np.uint64))
+        sizes.append(numbers[0])
+        lows.append(numbers[1])
+        highs.append(numbers[1] + numbers[2])
+        places.append(numbers[3])
+        tags.append(np.frombuffer(row["tags"], np.int64))
+        texts.append(zlib.decompress(row["text"]))
+    anchor, size, low, high, place, tag = (np.concatenate(x) for x in (anchors, sizes, lows, highs, places, tags))
+    whole = b"".join(texts)
+    ends = np.cumsum(size)
+    digest = _digests(whole, ends - size, ends)
+    order = np.lexsort((digest, anchor))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (anchor[order][1:] != anchor[order][:-1]) | (digest[order][1:] != digest[order][:-1])
+    first = np.flatnonzero(fresh)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(fresh) - 1
+    # Equal segments are sorted once, under the smallest id that has them.
+    one = order[first]
+    segments = [whole[a:b] for a, b in zip((ends - size)[one].tolist(), ends[one].tolist())]
+    least = np.minimum.reduceat(low[order], first)
+    limit = np.maximum.reduceat(high[order], first)
+    shared = np.maximum.reduceat((place[order] < 0).astype(np.int8), first) > 0
+    run, start, stop, value = _runs(*earliest_ids(segments, size[one] - LENGTH + 1, least), limit)
+    # Spans of the segments met once.
+    single = np.flatnonzero(place >= 0)
+    lo = np.searchsorted(run, number[single])
+    count = np.searchsorted(run, number[single], side="right") - lo
+    who = np.repeat(single, count)
+    which = np.repeat(lo - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum()) if len(count) else lo
+    later = value[which] < low[who]
+    who, which = who[later], which[later]
+    spans = [place[who] + start[which], place[who] + stop[which] + LENGTH]
+    # Decisions for the others.
+    told = np.flatnonzero(shared[run])
+    n, m = len(who), len(told)
+    where = one[run[told]]
+    none = np.arange(n + m) < n
+    join = lambda a, b: np.concatenate((a, b)).astype(np.int64)
+    zero, nil = np.zeros(n, np.int64), np.zeros(m, np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(join(zero, anchor[where].view(np.int64)), mask=none), pa.array(join(zero, digest[where].view(np.int64)), mask=none),
+         pa.array(join(low[who], nil), mask=~none), pa.array(join(tag[who], nil), mask=~none),
+         pa.array(join(spans[0], start[told])), pa.array(join(spans[1], stop[told] + LENGTH)),
+         pa.array(join(zero, value[told]), mask=none)],
+        names=["anchor", "digest", "id", "tag", "first", "last", "least"])
 
+
+def _search(batches):
+    """Parts arrive in order; each is solved when the next one begins."""
+    held: list[dict] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        size += batch.column("segment").nbytes
-        if size < BLOCK:
-            continue
-        table = pa.Table.from_batches(held)
-        anchors = table.column("anchor").to_numpy()
-        # The last anchor may go on in the next batch.
-        cut = int(np.flatnonzero(anchors != anchors[-1])[-1]) + 1 if (anchors != anchors[-1]).any() else 0
-        if cut:
-            yield solve(table.slice(0, cut))
-            held = table.slice(cut).combine_chunks().to_batches()
-            size = sum(b.column("segment").nbytes for b in held)
+        for row in batch.to_pylist():
+            if held and row["part"] != held[0]["part"]:
+                yield _solve(held)
+                held = []
+            held.append(row)
     if held:
-        yield solve(pa.Table.from_batches(held))
+        yield _solve(held)
 
 
 # ---- the operator -------------------------------------------------------------------------------
 
 def repeated_bytes(proposals: DataFrame, id: str = "ID_PROPOSTA", text: str = "OBJETO_PROPOSTA",
-                   large: int = LARGE) -> DataFrame:
+                   part_bytes: int = PART_BYTES, crowded: int = CROWDED) -> DataFrame:
     """Bytes of proposal texts that repeat a 50-byte passage of an earlier proposal.
 
     A byte is removed if some 50-byte string that covers it also starts in the text of a smaller id;
@@ -363,67 +447,61 @@ def repeated_bytes(proposals: DataFrame, id: str = "ID_PROPOSTA", text: str = "O
     Ids are compared as whole numbers (digit strings are read as such).  A row with another or a
     null id is later than no row and earlier than none: it stays whole.  Rows that share an id do not
     affect each other.  Null and empty texts have no bytes.
+
+    ``part_bytes`` is the amount of text whose anchors share a task's working set; anchors that occur
+    more than ``crowded`` times are dealt by single passages.  Neither changes a result.
     """
+    spark = proposals.sparkSession
+    body = text_or_empty(text)
     named = proposals.select(F.col(id).alias("key"), F.expr(f"try_cast(`{id}` AS bigint)").alias("id"),
-                             text_or_empty(text).alias("body"))
-    rows = named.filter("id IS NOT NULL").select("id", "body")
-    shared = rows.sparkSession.sparkContext.broadcast(repeated_anchors(rows))
-
-    def cut(batches, with_text: bool):
-        table = np.frombuffer(shared.value, np.uint8)
-        for piece in _pieces(batches):
-            texts = piece.column(1).cast(pa.large_binary()).to_pylist()
-            data, owner, at, passages, anchor = segments_of(texts)
-            keep = np.flatnonzero(_passing(anchor, table))
-            owner, at, passages, anchor = owner[keep], at[keep], passages[keep], anchor[keep]
-            whole, digest = data.tobytes(), xxhash.xxh64_intdigest
-            spans = list(zip(at.tolist(), (at + passages + LENGTH - 1).tolist()))
-            digests = np.fromiter((digest(whole[a:b]) for a, b in spans), np.uint64, len(spans)).view(np.int64)
-            ids = piece.column(0).to_numpy()[owner]
-            if with_text:
-                # One row for equal segments of a piece: its smallest and largest id.
-                order = np.lexsort((ids, digests, anchor))
-                fresh = np.concatenate(([True], (anchor[order][1:] != anchor[order][:-1])
-                                        | (digests[order][1:] != digests[order][:-1]))) if len(order) else np.zeros(0, bool)
-                first = np.flatnonzero(fresh)
-                last = np.concatenate((first[1:], [len(order)])).astype(np.int64) - 1
-                chosen = order[first]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor[chosen].view(np.int64)), pa.array(digests[chosen]),
-                     pa.array([whole[slice(*spans[i])] for i in chosen.tolist()], pa.binary()),
-                     pa.array(ids[chosen]), pa.array(ids[order[last]])],
-                    names=["anchor", "digest", "segment", "low", "high"])
-            else:
-                starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-                tags = np.array([digest(t) for t in texts], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(digests), pa.array(ids), pa.array(tags[owner]),
-                     pa.array(at - starts[owner])], names=["anchor", "digest", "id", "tag", "at"])
-
-    segments = (rows.mapInArrow(lambda b: cut(b, True), "anchor long, digest long, segment binary, low long, high long")
-                .groupBy("anchor", "digest", "segment").agg(F.min("low").alias("low"), F.max("high").alias("high")))
-    decisions = _decide(segments, large)
-    found = (rows.mapInArrow(lambda b: cut(b, False), "anchor long, digest long, id long, tag long, at long")
-             .join(decisions, ["anchor", "digest"]).filter(F.col("least") < F.col("id"))
-             .groupBy(F.col("id").alias("doc"), F.col("tag").alias("same"))
-             .agg(F.collect_set(F.struct((F.col("at") + F.col("first")).alias("start"),
-                                         (F.col("at") + F.col("last") + LENGTH).alias("end"))).alias("spans")))
-    texts = named.withColumn("tag", F.udf(
-        lambda body: int(np.uint64(xxhash.xxh64_intdigest(body.encode("utf-8"))).view(np.int64)), "long", useArrow=True)("body"))
-    joined = texts.join(found, (F.col("id") == F.col("doc")) & (F.col("tag") == F.col("same")), "left")
-    kind = proposals.schema[id].dataType.simpleString()
-    return joined.select("key", "body", "spans").mapInArrow(
-        _apply, f"key {kind}, n_bytes long, removed array<struct<start:long,end:long>>, kept binary"
-    ).withColumnRenamed("key", id)
+                             F.xxhash64(body).alias("tag"), body.alias("body"))
+    rows = named.filter("id IS NOT NULL").select("id", "tag", "body")
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("body").cast("long")), F.lit(0))).first()[0]
+    parts = int(min(1 << 30, max(64, total // part_bytes)))
+
+    several = cut_lineage(rows.mapInArrow(lambda b: _anchor_parts(b, parts), "part long, anchors binary, counts binary")
+                          .groupBy("part").applyInArrow(_several_of, "v long, n long"))
+    repeated = spark.sparkContext.broadcast(fixed_filter(several.select("v")))
+    many = several.filter(F.col("n") > crowded).select("v")
+    common = spark.sparkContext.broadcast(fixed_filter(many) if many.limit(1).count() else b"")
+
+    kind = "anchor long, digest long, id long, tag long, first long, last long, least long"
+    solved = cut_lineage(
+        rows.mapInArrow(lambda b: _leaders(b, parts, repeated.value, common.value),
+                        "part long, n long, anchors binary, text binary, numbers binary, tags binary")
+        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part")
+        .mapInArrow(_search, kind))
+    decisions = solved.filter("id IS NULL").select("anchor", "digest", "first", "last", "least")
+    shared = (rows.mapInArrow(lambda b: _followers(b, repeated.value, common.value),
+                              "anchor long, digest long, id long, tag long, at long")
+              .join(decisions, ["anchor", "digest"]).filter(F.col("least") < F.col("id"))
+              .select("id", "tag", (F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last")))
+    spans = solved.filter("id IS NOT NULL").select("id", "tag", "first", "last").unionByName(shared)
+    # A span as one number: its start and its length.
+    spans = (spans.select("id", "tag", (F.shiftleft("first", 32) + F.col("last") - F.col("first")).alias("span"))
+             .groupBy(F.col("id").alias("doc"), F.col("tag").alias("same")).agg(F.collect_list("span").alias("spans")))
+    texts = named.mapInArrow(_squeeze, f"key {proposals.schema[id].dataType.simpleString()}, id long, tag long, body binary")
+    joined = texts.join(spans, (F.col("id") == F.col("doc")) & (F.col("tag") == F.col("same")), "left")
+    out = joined.select("key", "body", "spans").mapInArrow(
+        _apply, f"key {proposals.schema[id].dataType.simpleString()}, n_bytes long, "
+                "removed array<struct<start:long,end:long>>, kept binary")
+    return out.withColumnRenamed("key", id)
+
+
+def _squeeze(batches):
+    """Texts packed for the way to their spans."""
+    for batch in batches:
+        packed = pa.array([zlib.compress(t, 1) for t in batch.column("body").cast(pa.large_binary()).to_pylist()], pa.binary())
+        yield batch.set_column(batch.schema.get_field_index("body"), "body", packed)
 
 
 def _apply(batches):
     """Spans joined where they overlap or touch, and the bytes outside them."""
     for batch in batches:
         sizes, removed, kept = [], [], []
-        for body, spans in zip(batch.column(1).cast(pa.large_binary()).to_pylist(), batch.column(2).to_pylist()):
-            runs, at, parts = [], 0, []
-            for start, end in sorted((s["start"], s["end"]) for s in spans or ()):
+        for body, spans in zip(batch.column("body").to_pylist(), batch.column("spans").to_pylist()):
+            body, runs, at, parts = zlib.decompress(body), [], 0, []
+            for start, end in sorted((s >> 32, (s >> 32) + (s & 0xFFFFFFFF)) for s in spans or ()):
                 if runs and start <= runs[-1]["end"]:
                     runs[-1]["end"] = max(runs[-1]["end"], end)
                 else:
@@ -435,52 +513,6 @@ def _apply(batches):
             removed.append(runs)
             kept.append(b"".join([*parts, body[at:]]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(sizes, pa.int64()),
+            [batch.column("key"), pa.array(sizes, pa.int64()),
              pa.array(removed, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), pa.array(kept, pa.binary())],
             names=["key", "n_bytes", "removed", "kept"])
-
-
-def _single_passages(batches):
-    """Every passage of a segment as a segment of its own, dealt by its content."""
-    digest = xxhash.xxh64_intdigest
-    for batch in batches:
-        segments = batch.column("segment").to_pylist()
-        row = [i for i, s in enumerate(segments) for _ in range(len(s) - LENGTH + 1)]
-        place = [k for s in segments for k in range(len(s) - LENGTH + 1)]
-        parts = [segments[i][k:k + LENGTH] for i, k in zip(row, place)]
-        h, other = (np.array([digest(p, seed) for p in parts], np.uint64).view(np.int64) for seed in (0, 1))
-        take = pa.array(row, pa.int64())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("anchor").take(take), batch.column("digest").take(take), pa.array(place, pa.int64()),
-             pa.array(h), pa.array(other), pa.array(parts, pa.binary()), batch.column("low").take(take), batch.column("high").take(take)],
-            names=["anchor", "digest", "place", "hash", "other", "segment", "low", "high"])
-
-
-def _decide(segments: DataFrame, large: int) -> DataFrame:
-    """(anchor, digest, first, last, least): passages of a segment and the smallest id that holds them.
-
-    Anchors with more than ``large`` different segments are dealt anew by whole passages, so that no
-    task has to hold all texts around a very common string.
-    """
-    kind = "anchor long, digest long, first long, last long, least long"
-    held = stage_table(segments)
-    crowded = held.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > large).select("anchor")
-    crowded = cut_lineage(crowded)
-    parts = max(1, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-    def solved(df: DataFrame) -> DataFrame:
-        # Anchors are hashes already: ranges of them are even.
-        return df.repartition(parts, "anchor").sortWithinPartitions("anchor").mapInArrow(_search, kind)
-
-    if not crowded.limit(1).count():
-        return solved(held)
-    rest = held.join(crowded, "anchor", "left_anti")
-    single = held.join(crowded, "anchor").mapInArrow(
-        _single_passages, "anchor long, digest long, place long, hash long, other long, segment binary, low long, high long")
-    merged = (single.groupBy(F.col("hash").alias("anchor"), F.col("other").alias("digest"), "segment")
-              .agg(F.min("low").alias("low"), F.max("high").alias("high")))
-    answer = solved(merged.select("anchor", "digest", "segment", "low", "high")).select(
-        F.col("anchor").alias("hash"), F.col("digest").alias("other"), "least")
-    back = single.join(answer, ["hash", "other"]).select("anchor", "digest", F.col("place").alias("first"),
-                                              F.col("place").alias("last"), "least")
-    return solved(rest).unionByName(back)

@@ -31,11 +31,11 @@ def result(df, **more):
                    for r in repeated_bytes(df, **more).collect()), key=repr)
 
 
-@pytest.mark.parametrize("large", [20_000, 2])
-def test_awkward_texts_against_brute_force(spark, large):
-    """With large = 2 nearly every anchor is dealt anew by whole passages."""
+@pytest.mark.parametrize("crowded", [20_000, 2])
+def test_awkward_texts_against_brute_force(spark, crowded):
+    """With crowded = 2 nearly every anchor is dealt by single passages."""
     rows = awkward()
-    assert result(proposals(spark, rows, CLASHING), large=large) == brute(rows)
+    assert result(proposals(spark, rows, CLASHING), crowded=crowded) == brute(rows)
 
 
 def test_digit_strings_are_compared_as_numbers(spark):
