@@ -1,10 +1,9 @@
 """Exact ranks, running totals and quantiles that do not need a large group in one task.
 
 A plain ``Window.partitionBy(group).orderBy(value)`` and the builtin exact ``percentile`` both
-put a group into a single task.  Here a group above a size limit is cut into value ranges by an
-approximate quantile sketch (bounded, merged map-side); the ranges are totalled in parallel and
-the range totals give each range its offset.  The cut points only decide how work is spread, so
-results are exact whatever the sketch says.
+put a group into a single task.  Here rows are dealt by ranges of (group, value), whatever the size
+of a group; every range is totalled by itself, and the totals of a group's earlier ranges give each
+range its offset.  Where the ranges are cut only decides how work is spread, never a result.
 """
 
 from __future__ import annotations
@@ -15,52 +14,33 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from panelspark.session import cut_lineage
 
-#: Groups with at most this many distinct values are ranked by one task.
-SPLIT_ROWS = 1_000_000
-RANGES = 256
-
 
 def running_totals(df: DataFrame, group: Sequence[str], order: str, weight: str,
-                   split_rows: int = SPLIT_ROWS, ranges: int = RANGES) -> DataFrame:
+                   ranges: int | None = None) -> DataFrame:
     """Add ``before`` (weight of all smaller ``order`` values) and ``total`` per group.
 
-    ``df`` has one row per (group, order) and a numeric, non-null ``order``; it is read several
-    times, so it is materialised first.  Only groups above ``split_rows`` rows are split.
+    ``df`` has one row per (group, order) and a non-null ``order``.  ``ranges`` is the number of
+    ranges (the session's shuffle partitions if not given).  A range is known by the partition it
+    lands in, so the dealt rows are materialised once.
     """
     group = list(group)
-    rows = cut_lineage(df)
-    keys = group or [F.lit(1)]
-    stats = rows.groupBy(*group).agg(F.sum(weight).alias("total"), F.count("*").alias("__rows"))
-    largest = stats.agg(F.max("__rows")).first()[0] or 0
-    if largest <= split_rows:
-        whole = Window.partitionBy(*keys)
-        smaller = whole.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-        return rows.withColumns({"total": F.sum(weight).over(whole),
-                                 "before": F.coalesce(F.sum(weight).over(smaller), F.lit(0))})
-
-    fractions = [i / ranges for i in range(1, ranges)]
-    cuts = F.percentile_approx(order, fractions, ranges * 20).alias("__cuts")
-    if group:
-        large = stats.filter(F.col("__rows") > split_rows).select(*group)
-        sketched = rows.join(large, group, "left_semi").groupBy(*group).agg(cuts)
-        measured = rows.join(stats.drop("__rows").join(sketched, group, "left"), group)
-    else:
-        measured = rows.withColumns({"total": stats.select("total").scalar(),
-                                     "__cuts": rows.agg(cuts).scalar()})
-    below = F.size(F.filter("__cuts", lambda cut: cut < F.col(order)))
+    dealt = (df.repartitionByRange(ranges, *group, order) if ranges else df.repartitionByRange(*group, order))
+    placed = cut_lineage(dealt.withColumn("__range", F.spark_partition_id()))
     span = [*group, "__range"]
-    # The explicit repartition matters: rows already partitioned by group would satisfy the
-    # window below and leave a large group in one task.
-    placed = (measured.withColumn("__range", F.when(F.col("__cuts").isNull(), 0).otherwise(below))
-              .drop("__cuts").repartition(*span))
     inside = Window.partitionBy(*span).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     local = placed.withColumn("__local", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    # At most ``ranges`` rows per group from here on.
-    across = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    # At most one row per range and group from here on.
+    whole = Window.partitionBy(*(group or [F.lit(1)]))
+    across = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = placed.groupBy(*span).agg(F.sum(weight).alias("__weight")).select(
-        *span, F.coalesce(F.sum("__weight").over(across), F.lit(0)).alias("__offset"))
-    return local.join(offsets, span).withColumn(
-        "before", F.col("__local") + F.col("__offset")).drop("__local", "__offset", "__range")
+        *span, F.coalesce(F.sum("__weight").over(across), F.lit(0)).alias("__offset"),
+        F.sum("__weight").over(whole).alias("total"))
+    named = offsets.withColumnsRenamed({c: f"__of_{c}" for c in span})
+    same = F.col("__range") == F.col("__of___range")
+    for column in group:
+        same = same & F.col(column).eqNullSafe(F.col(f"__of_{column}"))
+    return (local.join(named, same).withColumn("before", F.col("__local") + F.col("__offset"))
+            .drop("__local", "__offset", "__range", *[f"__of_{c}" for c in span]))
 
 
 def value_counts(df: DataFrame, group: Sequence[str], value: str, **spread) -> DataFrame:

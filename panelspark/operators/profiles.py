@@ -400,7 +400,7 @@ def index_problems(index: DataFrame, documents: DataFrame) -> DataFrame:
         F.count("*").alias("d_n"), F.min("shard").alias("d_shard"),
         F.min(F.struct(*[F.col(f"municipality.{c}").alias(c) for c in un.IDENTITY])).alias("d_identity"))
     both = left.join(right, UNIT, "full")
-    shape = r"\A.*/([A-Z]{2})(?:-[0-9]{3})?\.json\z"
+    shape = r"\A.*/([A-Z]{2})(?:-[0-9]{3,})?\.json\z"
     return both.agg(
         F.count_if(F.col("i_n") > 1).alias("repeated_in_index"),
         F.count_if(F.col("d_n") > 1).alias("repeated_in_shards"),

@@ -10,9 +10,11 @@ then let all blocks number their items at once.
 
 from __future__ import annotations
 
+import json
 import math
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from panelspark.session import cut_lineage
 
@@ -163,12 +165,13 @@ def _number_items(pdf):
 
 
 def pack_shards(items: DataFrame, group: str, key: str, size: str, max_bytes: int,
-                overhead: Column | int = 0, block_items: int = 100_000) -> DataFrame:
+                overhead: Column | int = 0, blocks: int | None = None) -> DataFrame:
     """Shard number ``part`` (from 1) of each item and the number of ``parts`` of its group.
 
     Items are taken in key order.  A shard costs ``overhead`` bytes, its items and one separator
     byte between items; an item that cannot fit alone is an error.  Group and key are compared as
-    text.  Only keys and sizes move between tasks, never the items themselves.
+    text.  Only keys and sizes move between tasks, never the items themselves.  Items are cut into
+    ``blocks`` key ranges (the session's shuffle partitions if not given).
     """
     if max_bytes < 1:
         raise ValueError("max_bytes must be positive")
@@ -181,18 +184,11 @@ def pack_shards(items: DataFrame, group: str, key: str, size: str, max_bytes: in
         "bytes": F.when(fits, F.col("bytes")).otherwise(F.raise_error(F.concat(
             F.lit("item larger than a shard: "), F.col("group"), F.lit("/"), F.col("key")))),
         "cap": F.lit(max_bytes).cast("bigint")})
-    count = math.ceil(items.count() / block_items) or 1
-    if count == 1:
-        blocks = sized.withColumn("block", F.lit(0).cast("bigint"))
-        entries = None
-    else:
-        blocks = cut_lineage(sized.repartitionByRange(count, "group", "key")
-                             .withColumn("block", F.spark_partition_id().cast("bigint")))
-        entries = _entry_states(blocks, count, max_bytes)
-    if entries is None:
-        ready = blocks.withColumns({"used": F.col("cap"), "opened": F.lit(0).cast("bigint")})
-    else:
-        ready = blocks.join(entries.withColumnRenamed("node", "block"), ["group", "block"])
+    count = blocks or int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut_lineage(sized.repartitionByRange(count, "group", "key")
+                        .withColumn("block", F.spark_partition_id().cast("bigint")))
+    entries = _entry_states(dealt, count, max_bytes)
+    ready = dealt.join(entries.withColumnRenamed("node", "block"), ["group", "block"])
     numbered = ready.groupBy("group", "block").applyInPandas(
         _number_items, "group string, key string, part long")
     parts = numbered.groupBy("group").agg(F.max("part").alias("parts"))
@@ -227,6 +223,42 @@ def _entry_states(blocks: DataFrame, count: int, max_bytes: int) -> DataFrame:
 
 
 def shard_name(group: Column, part: Column, parts: Column) -> Column:
-    """``UF.json``, or ``UF-001.json`` when the group has more than one part."""
-    return F.when(parts > 1, F.concat(group, F.lit("-"), F.lpad(part.cast("string"), 3, "0"),
-                                      F.lit(".json"))).otherwise(F.concat(group, F.lit(".json")))
+    """``UF.json``, or ``UF-001.json`` when the group has more than one part.
+
+    Numbers are padded to three digits and never cut.
+    """
+    number = part.cast("string")
+    padded = F.when(part < 1000, F.lpad(number, 3, "0")).otherwise(number)
+    return F.when(parts > 1, F.concat(group, F.lit("-"), padded, F.lit(".json"))).otherwise(
+        F.concat(group, F.lit(".json")))
+
+
+def shard_documents(entries: DataFrame, group: str, key: str, document: str, file: str, schema_version: str) -> DataFrame:
+    """One row per shard (``file``, ``group``, ``body``): its whole JSON document, entries in key order.
+
+    The body of a shard is bounded by the size it was packed for.
+    """
+    name = F.to_json(F.struct(F.col(key).cast("string").alias("v")))
+    # to_json gives {"v":"key"}; the encoded name lies between its fifth and its last character.
+    entry = F.struct(F.col(key).cast("string").alias("key"), F.concat(
+        name.substr(F.lit(6), F.length(name) - 6), F.lit(":"), F.col(document)).alias("text"))
+    named = F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["text"])
+    frame = F.expr(f"to_json(struct(`{group}` AS v))")
+    return entries.groupBy(file, group).agg(F.array_join(named, ",").alias("__entries")).select(
+        file, group, F.concat(F.lit('{"municipalities":{'), F.col("__entries"),
+                              F.lit('},"schema_version":' + json.dumps(schema_version) + ',"uf":'),
+                              F.substring(frame, 6, 1 << 20)).alias("body"))
+
+
+def read_shard_documents(spark: SparkSession, path: str, identity: StructType | str) -> DataFrame:
+    """What published shard files hold: ``file``, ``bytes``, ``schema_version``, ``uf``, key, identity.
+
+    Each file is one JSON document of bounded size and is read whole.
+    """
+    texts = spark.read.text(path, wholetext=True).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_size").alias("bytes"),
+        F.from_json("value", "schema_version string, uf string, municipalities map<string,string>").alias("d"))
+    rows = texts.select("file", "bytes", "d.schema_version", "d.uf",
+                        F.explode_outer("d.municipalities").alias("codigo_ibge", "document"))
+    held = identity if isinstance(identity, str) else identity.simpleString()
+    return rows.withColumn("municipality", F.from_json("document", f"municipality {held}")["municipality"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.operators import conform, events as op, keys
-from panelspark.operators.release import input_signature, release_impact
+from panelspark.operators.release import input_signature, output_fingerprints, release_impact
 from panelspark.plans.runner import Layout, Stage, run_source
 from panelspark.presets import events as ev
 from panelspark.quality import checks as q
@@ -170,7 +170,8 @@ def run_events(spark: SparkSession, layout: Layout, csv_path: str, types_path: s
                             read_landed_sheet(spark, factors_path), source_release=release, **lineage)
 
     return run_source(
-        spark, layout, "events", release, input_signature(release, source_hashes), VERSION, build,
+        spark, layout, "events", release,
+        input_signature(release, source_hashes, **output_fingerprints({"dimension": dim})), VERSION, build,
         lambda tables: event_checks(tables, raw, dim, first_year, latest_year, **copies),
         event_impact, TABLES,
         archive=tuple(t for t in TABLES if t not in ("silver_disaster_event", "monetary_correction_factor")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.operators import keys, panel as op
-from panelspark.operators.release import common_period_diff, input_signature, release_impact
+from panelspark.operators.release import common_period_diff, input_signature, output_fingerprints, release_impact
 from panelspark.plans.runner import Layout, Stage, run_source
 from panelspark.presets import panel as pn
 from panelspark.quality import checks as q
@@ -108,6 +108,7 @@ def run_panel(spark: SparkSession, layout: Layout, wide_path: str, legend_path:
         return tables
 
     return run_source(
-        spark, layout, "panel", release, input_signature(release, source_hashes), VERSION, build,
+        spark, layout, "panel", release,
+        input_signature(release, source_hashes, **output_fingerprints({"dimension": dim})), VERSION, build,
         lambda tables: panel_checks(tables, resolved["semantics"], wide, dim, first_year, latest_year, examples),
         panel_impact, TABLES, archive=[t for t in TABLES if t != "silver_land_cover"])

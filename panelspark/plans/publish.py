@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from panelspark.operators import profiles
 from panelspark.operators.release import StaleOutput, verify_outputs
 from panelspark.plans.runner import Layout, previous_run, published
 from panelspark.presets import events as ev, profiles as pf
-from panelspark.sinks.writers import write_json_lines, write_parquet
+from panelspark.operators.shards import read_shard_documents, shard_documents
+from panelspark.sinks.writers import replace_on_success, write_json_lines, write_named_texts, write_parquet
 from panelspark.sources.contracts import ContractError
 
+#: Where shard files lie below the site's root, as the index names them.
+SHARD_ROOT = "/data/v1/uf/"
+
 INPUTS = {
     "dim": "dim_municipality", "snapshot": "snapshot_municipality_disaster_history",
     "types": "municipality_disaster_type_summary", "months": "municipality_disaster_month_profile",
@@ -85,9 +90,12 @@ def publish_profiles(spark: SparkSession, layout: Layout, legacy: DataFrame, out
 def export_profiles(tables: dict[str, DataFrame], legacy: DataFrame, output: str,
                     max_bytes: int = pf.MAX_SHARD_BYTES, expected_units: int | None = None,
                     runs: dict | None = None) -> dict:
-    """Assemble once, write the documents as a table, and derive everything else from it."""
+    """Write the site's data below ``output``: profiles, shard files, index and metadata.
+
+    Everything is written to a staging folder, read back and checked there; the published folder is
+    replaced only if all checks hold.
+    """
     dim = tables["dim"]
-    spark = dim.sparkSession
     stats = dim.agg(F.count("*").alias("n"), F.countDistinct("codigo_ibge").alias("d")).first()
     if stats.n != stats.d:
         raise ContractError("the unit dimension has a repeated code")
@@ -96,8 +104,23 @@ def export_profiles(tables: dict[str, DataFrame], legacy: DataFrame, output: str
     repeated = legacy.groupBy("code").count().filter("count > 1")
     if not repeated.isEmpty():
         raise ContractError("the legacy listing has a repeated code")
+    result = {"municipalities": stats.n}
+
+    def build(root: str) -> None:
+        result["shards"] = _stage_site(root, tables, legacy, max_bytes)
+        if runs is not None:
+            meta = metadata(dim, tables["fact"], tables["history"], runs)
+            meta.write.option("ignoreNullFields", "false").json(f"{root}/metadata")
+            if wrong := [r["rule"] for r in metadata_problems(meta, stats.n).collect()]:
+                raise ContractError(f"metadata breaks its contract: {wrong}")
+
+    replace_on_success(dim.sparkSession, output.rstrip("/"), build)
+    return result
+
 
-    root = output.rstrip("/")
+def _stage_site(root: str, tables: dict[str, DataFrame], legacy: DataFrame, max_bytes: int) -> int:
+    """Profiles, shard files and index below ``root``, checked as written; the number of shards."""
+    spark = tables["dim"].sparkSession
     write_parquet(profiles.unit_profiles(**tables, legacy=legacy), f"{root}/profiles")
     assembled = spark.read.parquet(f"{root}/profiles")
     broken = profiles.document_violations(assembled).groupBy("rule").count().collect()  # one row per rule
@@ -108,22 +131,26 @@ def export_profiles(tables: dict[str, DataFrame], legacy: DataFrame, output: str
     encoded = profiles.encode(assembled)
     write_parquet(profiles.plan_shards(encoded, max_bytes), f"{root}/shard_plan")
     plan = spark.read.parquet(f"{root}/shard_plan")
-    placed = encoded.join(plan.select("codigo_ibge", "part", "file"), "codigo_ibge")
-    # One file per shard: its size is bounded by max_bytes, whatever the size of the state.
-    lines = (placed.repartition("uf", "part").sortWithinPartitions("uf", "part", "codigo_ibge")
-             .select("uf", "file", "codigo_ibge", "document"))
-    write_json_lines(lines, f"{root}/shards", partition_by=["uf", "file"])
-    index = profiles.index_entries(encoded, plan)
-    write_json_lines(index, f"{root}/index")
-    documents = placed.select("codigo_ibge", "municipality",
-                              F.concat(F.lit("/data/v1/uf/"), F.col("file")).alias("shard"))
-    problems = profiles.index_problems(index, documents).first().asDict()
-    if any(problems.values()):
-        raise ContractError(f"index and shards disagree: {problems}")
-    if runs is not None:
-        meta = metadata(dim, tables["fact"], tables["history"], runs)
-        write_json_lines(meta, f"{root}/metadata")
-        if wrong := [r["rule"] for r in metadata_problems(meta, stats.n).collect()]:
-            raise ContractError(f"metadata breaks its contract: {wrong}")
-    shards = plan.select("uf", "part").distinct().count()
-    return {"municipalities": stats.n, "shards": shards}
+    placed = encoded.join(plan.select("codigo_ibge", "file"), "codigo_ibge")
+    bodies = shard_documents(placed, "uf", "codigo_ibge", "document", "file", pf.SCHEMA_VERSION)
+    write_named_texts(bodies, f"{root}{SHARD_ROOT}", "file", "body")
+    write_json_lines(profiles.index_entries(encoded, plan, SHARD_ROOT), f"{root}/index")
+
+    # From here on only what lies in the staging folder counts.
+    identity = encoded.schema["municipality"].dataType
+    held = read_shard_documents(spark, f"{root}{SHARD_ROOT}", identity)
+    index = spark.read.schema(StructType([*identity.fields, StructField("shard", StringType())])).json(f"{root}/index")
+    problems = profiles.index_problems(index, held.select(
+        "codigo_ibge", "municipality", F.concat(F.lit(SHARD_ROOT), F.col("file")).alias("shard"))).first().asDict()
+    files = held.groupBy("file").agg(
+        F.max("bytes").alias("bytes"), F.count_if(F.col("schema_version") != pf.SCHEMA_VERSION).alias("version"),
+        F.count_if(F.col("codigo_ibge").isNull() | F.col("municipality").isNull()).alias("unreadable"),
+        F.count_if(~F.col("uf").eqNullSafe(F.col("municipality.uf"))).alias("state"))
+    counts = files.agg(
+        F.count("*").alias("files"), F.count_if(F.col("bytes") > max_bytes).alias("files_too_large"),
+        F.sum("version").alias("other_version"), F.sum("unreadable").alias("unreadable_documents"),
+        F.sum("state").alias("documents_of_other_state")).first().asDict()
+    shards = counts.pop("files")
+    if any(problems.values()) or any(counts.values()):
+        raise ContractError(f"index and shards disagree: {problems | counts}")
+    return shards

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from panelspark.functions.states import GOLD_STATES
 from panelspark.operators import conform
-from panelspark.operators.release import input_signature
+from panelspark.operators.release import input_signature, output_fingerprints
 from panelspark.plans.runner import Layout, Stage, run_source
 from panelspark.presets import survey as sv
 from panelspark.quality import checks as q
@@ -32,7 +32,6 @@ def survey_checks(tables: dict[str, DataFrame], dim: DataFrame, expected_rows: i
     conflict = ((F.col("municipal_civil_defense_body_status") == "declared_yes")
                 & (F.col("civil_defense_budget_provision_status") == "not_applicable"))
     absent = gold.filter(~F.col("in_source"))
-    listed = F.array(*[F.lit(c) for c in sorted(outside)]).cast("array<string>")
     return q.union_checks([
         q.aggregate_checks(silver, "silver_survey", [
             q.row_count(expected_rows, "source_has_expected_municipalities"),
@@ -45,11 +44,25 @@ def survey_checks(tables: dict[str, DataFrame], dim: DataFrame, expected_rows: i
             q.allowed_values(sv.STATUS_COLUMNS, GOLD_STATES, "status_values_follow_contract")]),
         q.unique(silver, "silver_survey", ["codigo_ibge"], "source_codigo_ibge_is_unique"),
         q.subset(silver, dim, ["codigo_ibge"], "silver_survey", "all_source_codes_match_current_dimension"),
-        # At most one row more than the expected list needs to be looked at.
-        q.judge(absent.orderBy("codigo_ibge").limit(len(outside) + 1).agg(
-            F.sort_array(F.collect_list("codigo_ibge")).alias("not_in_source")), "gold_survey",
-            "new_municipalities_are_explicitly_outside_the_source", f"{sorted(outside)}",
-            lambda c: c["not_in_source"] == listed)])
+        q.judge(_outside_counts(absent, outside), "gold_survey",
+                "new_municipalities_are_explicitly_outside_the_source",
+                {"outside_but_not_expected": 0, "expected_but_not_outside": 0})])
+
+
+def _outside_counts(absent: DataFrame, outside: list[str]) -> DataFrame:
+    """Units outside the source that are not on the expected list, and the other way round."""
+    named = absent.select("codigo_ibge").distinct()
+    extra = named.filter(~F.col("codigo_ibge").isin(*outside)) if outside else named
+    found = named.filter(F.col("codigo_ibge").isin(*outside)) if outside else named.filter("false")
+    return extra.agg(F.count("*").alias("outside_but_not_expected")).withColumn(
+        "expected_but_not_outside", F.lit(len(set(outside))) - found.agg(F.count("*")).scalar()).select(
+        F.col("outside_but_not_expected"), F.col("expected_but_not_outside"))
+
+
+def outside_rows(gold: DataFrame, outside: list[str]) -> DataFrame:
+    """Every unit outside the source, with whether it was expected there: the check's full list."""
+    return gold.filter(~F.col("in_source")).select(
+        "codigo_ibge", F.col("codigo_ibge").isin(*outside).alias("expected") if outside else F.lit(False).alias("expected"))
 
 
 def run_survey(spark: SparkSession, layout: Layout, sheet_path: str, release: str,
@@ -58,7 +71,8 @@ def run_survey(spark: SparkSession, layout: Layout, sheet_path: str, release: st
     sheet = read_landed_sheet(spark, sheet_path)
     dim = spark.read.parquet(layout.table("dim_municipality"))
     return run_source(
-        spark, layout, "survey", release, input_signature(release, source_hashes), VERSION,
+        spark, layout, "survey", release,
+        input_signature(release, source_hashes, **output_fingerprints({"dimension": dim})), VERSION,
         lambda stage: survey_tables(stage, sheet, dim, source_release=release, **lineage),
         lambda tables: survey_checks(tables, dim, expected_rows, expected_units, outside, expected_yes),
         tables=TABLES)

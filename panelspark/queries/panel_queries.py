@@ -128,11 +128,11 @@ def latest_snapshot(spark, folder):
 
 
 @query("change_ranking", f"""WITH {P}, {SNAP}, {_CHANGE} SELECT s.s_name AS name, c.unit, c.urban_change_ha
-  FROM chg c JOIN supplier s ON s.s_suppkey = c.unit ORDER BY c.urban_change_ha DESC, c.unit LIMIT 20""")
+  FROM chg c JOIN supplier s ON s.s_suppkey = c.unit ORDER BY c.urban_change_ha DESC, c.unit""")
 def change_ranking(spark, folder):
     names = table(spark, folder, "supplier").select(F.col("s_suppkey").alias("unit"), F.col("s_name").alias("name"))
     return (change(spark, folder).join(names, "unit").select("name", "unit", "urban_change_ha")
-            .orderBy(F.desc("urban_change_ha"), "unit").limit(20))
+            .orderBy(F.desc("urban_change_ha"), "unit"))
 
 
 @query("snapshot_with_change", f"""WITH {P}, {SNAP}, {_CHANGE} SELECT s.unit, p.s_name AS name, c.first_year, c.latest_year,

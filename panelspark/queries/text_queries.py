@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from panelspark.functions import numbers as nu, text as tx
 from panelspark.operators import evidence, search
 from panelspark.queries.registry import query, table
-from panelspark.sources.readers import spread
 from panelspark.sources.pages import harvest_links, harvest_table_rows, page_text, url_path
 
 # SQL side of the accent folding; ß is the one letter of the texts that lower() leaves whole.
@@ -15,7 +14,7 @@ _FOLD = "replace(strip_accents(lower({c})), 'ß', 'ss')"
 
 
 def documents(spark, folder):
-    return spread(table(spark, folder, "documents").select("doc_id", "text", "source"), "doc_id")
+    return table(spark, folder, "documents").select("doc_id", "text", "source")
 
 
 def _fold(column):
@@ -256,7 +255,7 @@ def json_flatten(spark, folder):
   SELECT page_id, len(hrefs) AS links, len(list_distinct(hrefs)) AS distinct_links, list_min(hrefs) AS first_href FROM a WHERE len(hrefs) > 0""")
 def link_harvest(spark, folder):
     """Links of every page, whole pages parsed where they lie."""
-    links = harvest_links(spread(table(spark, folder, "pages"), "page_id"))
+    links = harvest_links(table(spark, folder, "pages"))
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.countDistinct("href").alias("distinct_links"),
                                         F.min("href").alias("first_href"))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,15 +20,52 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def replace_on_success(spark: SparkSession, path: str, write) -> None:
-    """Write to a staging path and swap it in only once the whole write has succeeded."""
-    staged = f"{path.rstrip('/')}.staging-{uuid4().hex[:12]}"
+    """Write to a staging path and swap it in only once the whole write has succeeded.
+
+    The live files are moved aside, not deleted, until the new ones are in their place, and moved
+    back if these cannot be.
+    """
+    tag = uuid4().hex[:12]
+    staged, aside = (f"{path.rstrip('/')}.{kind}-{tag}" for kind in ("staging", "previous"))
     write(staged)
     target, fs = _filesystem(spark, path)
-    staged_path, _ = _filesystem(spark, staged)
-    if fs.exists(target):
-        fs.delete(target, True)
-    if not fs.rename(staged_path, target):
+    staged_path, aside_path = (_filesystem(spark, p)[0] for p in (staged, aside))
+    held = fs.exists(target)
+    if held and not fs.rename(target, aside_path):
+        raise RuntimeError(f"could not move {path} aside")
+    try:
+        moved = fs.rename(staged_path, target)
+    except Exception:
+        moved = False
+    if not moved:
+        if held:
+            fs.rename(aside_path, target)
         raise RuntimeError(f"could not move {staged} to {path}")
+    if held:
+        fs.delete(aside_path, True)
+
+
+def write_named_texts(df: DataFrame, path: str, name: str, body: str) -> None:
+    """One text file per row, called ``name`` and holding ``body`` and a line feed.
+
+    Executors write all bodies; the driver only renames the files, one call per row, so the rows
+    must be few (files of a site).  Names must be distinct.
+    """
+    spark = df.sparkSession
+    landed = f"{path.rstrip('/')}.parts-{uuid4().hex[:12]}"
+    (df.select(F.col(name).alias("file"), F.col(body).alias("value")).repartition("file")
+     .write.partitionBy("file").text(landed))
+    target, fs = _filesystem(spark, path)
+    fs.mkdirs(target)
+    source, _ = _filesystem(spark, landed)
+    for folder in fs.listStatus(source):
+        if not folder.isDirectory():
+            continue
+        parts = [f.getPath() for f in fs.listStatus(folder.getPath()) if f.getPath().getName().startswith("part-")]
+        file = unquote(folder.getPath().getName().split("=", 1)[1])
+        if len(parts) != 1 or not fs.rename(parts[0], spark._jvm.org.apache.hadoop.fs.Path(target, file)):
+            raise RuntimeError(f"could not name {file}")
+    fs.delete(source, True)
 
 
 def write_parquet(df: DataFrame, path: str, sort_by: Sequence[str] = (),

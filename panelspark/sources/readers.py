@@ -20,21 +20,6 @@ def read_parquet(spark: SparkSession, path: str, columns: Sequence[str] | None =
     return df.select(*columns) if columns else df
 
 
-#: Inputs below this size are spread over all cores before work that is heavy per row.
-SPREAD_BELOW_BYTES = 1 << 30
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Rows of a small input over all cores; a large input already has enough splits.
-
-    A small table is often a single row group, which one task would have to process alone.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) >= SPREAD_BELOW_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-
-
 def csv_header(spark: SparkSession, path: str, sep: str = ";", encoding: str = "UTF-8",
                quote: str = '"') -> list[str]:
     """Column names of the file in their physical order; reads the first row only."""

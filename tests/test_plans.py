@@ -354,7 +354,9 @@ def test_profiles_are_published_from_the_runs(spark, world):
     out = str(root / "published")
     result = publish.publish_profiles(spark, layout, legacy, out, expected_units=4)
     assert result == {"municipalities": 4, "shards": 3}
-    docs = {r.codigo_ibge: json.loads(r.document) for r in spark.read.json(f"{out}/shards").collect()}
+    docs = {}
+    for path in (root / "published/data/v1/uf").glob("*.json"):
+        docs |= json.loads(path.read_text(encoding="utf-8"))["municipalities"]
     assert docs["4202404"]["disasters"]["state"] == "record" and docs["4202404"]["land_cover"]["state"] == "record"
     assert docs["2605459"]["land_cover"]["state"] == "no_coverage"
     assert docs["1200013"]["transfers"]["state"] == "not_in_legacy_universe"

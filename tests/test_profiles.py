@@ -1,19 +1,38 @@
 import json
+from collections import namedtuple
+from pathlib import Path
 
 import gold
 import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import profiles
+from panelspark.operators.shards import read_shard_documents, shard_documents
 from panelspark.plans.publish import export_profiles
+from panelspark.sinks.writers import write_named_texts
 from panelspark.sources.contracts import ContractError
 
 
+Line = namedtuple("Line", "file uf codigo_ibge document")
+
+
+def published_documents(out):
+    """The documents in the shard files, read without Spark."""
+    lines = []
+    for path in sorted(Path(out, "data/v1/uf").glob("*.json")):
+        text = path.read_text(encoding="utf-8")
+        shard = json.loads(text)
+        assert text.endswith("}\n") and list(shard) == ["municipalities", "schema_version", "uf"]
+        assert list(shard["municipalities"]) == sorted(shard["municipalities"])
+        lines += [Line(path.name, shard["uf"], code, json.dumps(doc)) for code, doc in shard["municipalities"].items()]
+    return lines
+
+
 @pytest.fixture(scope="module")
 def exported(spark, tmp_path_factory):
     out = str(tmp_path_factory.mktemp("export"))
     result = export_profiles(gold.gold_tables(spark), gold.legacy(spark), out, expected_units=9)
-    lines = spark.read.json(f"{out}/shards").collect()
+    lines = published_documents(out)
     return out, result, {r.codigo_ibge: json.loads(r.document) for r in lines}, lines
 
 
@@ -116,6 +135,33 @@ def test_small_cap_gives_numbered_parts(spark):
         profiles.plan_shards(encoded, one - 1).collect()
 
 
+def test_more_than_a_thousand_parts_keep_their_names(spark, tmp_path):
+    """Numbers of four digits are not cut, so no two shards share a file, and each fits its size."""
+    rows = [("AA", f"{i:07d}", json.dumps({"municipality": {"codigo_ibge": f"{i:07d}", "uf": "AA"}})) for i in range(1010)]
+    encoded = spark.createDataFrame(rows, "uf string, codigo_ibge string, document string")
+    size = 150
+    plan = profiles.plan_shards(encoded, size)
+    placed = encoded.join(plan.select("codigo_ibge", "file"), "codigo_ibge")
+    bodies = shard_documents(placed, "uf", "codigo_ibge", "document", "file", "v1")
+    write_named_texts(bodies, str(tmp_path / "uf"), "file", "body")
+    files = sorted((tmp_path / "uf").glob("*.json"))
+    assert len(files) == 1010 and {"AA-001.json", "AA-1000.json", "AA-1010.json"} <= {f.name for f in files}
+    assert max(f.stat().st_size for f in files) <= size
+    held = read_shard_documents(spark, str(tmp_path / "uf"), "struct<codigo_ibge:string,uf:string>").collect()
+    assert {r.codigo_ibge: r.file for r in held} == {r.codigo_ibge: r.file for r in plan.collect()}
+    assert all(r.municipality.codigo_ibge == r.codigo_ibge for r in held)
+
+
+def test_a_failed_check_leaves_the_site_alone(spark, tmp_path):
+    out = tmp_path / "site"
+    export_profiles(gold.gold_tables(spark), gold.legacy(spark), str(out), expected_units=9)
+    before = {p: p.stat().st_mtime_ns for p in out.rglob("*.json")}
+    tables = gold.gold_tables(spark)
+    with pytest.raises(Exception, match="change row missing"):
+        export_profiles({**tables, "change": tables["change"].filter("codigo_ibge <> '4202404'")}, gold.legacy(spark), str(out))
+    assert {p: p.stat().st_mtime_ns for p in out.rglob("*.json")} == before
+
+
 def test_broken_inputs_are_refused(spark, tmp_path):
     tables = gold.gold_tables(spark)
     twice = {**tables, "dim": tables["dim"].unionByName(tables["dim"].limit(1))}

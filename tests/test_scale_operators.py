@@ -58,7 +58,7 @@ def test_step_functions_compose_like_packing():
         assert (after, shards) == (used, opened)
 
 
-@pytest.mark.parametrize("spread", [{}, {"split_rows": 5, "ranges": 8}])
+@pytest.mark.parametrize("spread", [{}, {"ranges": 8}, {"ranges": 1}])
 def test_ranks_and_quantiles_with_a_hot_group(spark, spread):
     rng = random.Random(9)
     rows = [("hot", rng.choice([0.0, 0.0, rng.random(), rng.randint(1, 9) / 1.0])) for _ in range(900)]
