@@ -2,6 +2,7 @@
 
 from panelspark.queries import (  # noqa: F401
     event_queries,
+    ingest_queries,
     key_queries,
     panel_queries,
     publish_queries,

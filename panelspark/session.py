@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import SparkSession
 
 #: Settings that change results.  Everything else is tuning and belongs to the cluster.
@@ -50,3 +52,12 @@ def cut_lineage(df):
             configured = tempfile.mkdtemp(prefix="panelspark-checkpoint-")
         context.setCheckpointDir(configured)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared checkpoint folder, for files that one run writes and reads back."""
+    context = spark.sparkContext._jsc.sc()
+    if context.getCheckpointDir().isEmpty():
+        cut_lineage(spark.range(1))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir().get()
+    return f"{folder.rstrip('/')}/{name}-{uuid4().hex}"
