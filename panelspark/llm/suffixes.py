@@ -24,7 +24,7 @@ LENGTH = 50
 GRAM = 16
 PIECE = 1 << 22
 STRIP = 1 << 16
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 21
 CROWDED = 20_000
 
 _M1, _M2, _M3 = (np.uint64(v) for v in (0x9E3779B97F4A7C15, 0x94D049BB133111EB, 0xBF58476D1CE4E5B9))
@@ -77,7 +77,10 @@ def segments_of(texts: list[bytes], length: int = LENGTH):
     fresh[1:] = (low[1:] != low[:-1]) | ~ok[:-1]
     at = np.flatnonzero(fresh & ok)
     last = np.flatnonzero(ok & np.concatenate(((fresh | ~ok)[1:], [True]))) if len(low) else at
-    return data, np.searchsorted(ends, at, side="right"), at, last - at + 1, low[at]
+    # Minima are small numbers; mixed (one to one) they spread evenly over parts and filter.
+    anchor = low[at] * _M1
+    anchor ^= anchor >> np.uint64(32)
+    return data, np.searchsorted(ends, at, side="right"), at, last - at + 1, anchor * _M2
 
 
 def _pieces(batches):
@@ -156,21 +159,19 @@ def two_stage_order(data: np.ndarray, wanted: np.ndarray, depth: int = LENGTH) -
     """
     n = len(data)
     # Whether each suffix is smaller than its successor; equal bytes decide as the next byte does.
-    step = np.sign(data[1:].astype(np.int16) - data[:-1])
-    known = np.flatnonzero(step)
-    at = np.searchsorted(known, np.arange(n - 1))
-    step = np.append(step, 0)[np.append(known, n - 1)[at]]
-    small = np.append(step > 0, True)
-    small[:-1] |= step == 0
+    differs = data[1:] != data[:-1]
+    known = np.flatnonzero(differs)
+    rises = np.append(data[known + 1] > data[known], True)
+    # Before the k-th difference all places wait for it; after the last one the padding counts as rising.
+    small = np.append(rises[np.cumsum(differs, dtype=np.int32) - differs], True)
     # Inducing needs every place from a wanted one on to the next directly sorted one.
     need = np.zeros(n, bool)
     need[wanted] = True
     directs = np.flatnonzero(small)
     stop = directs[np.searchsorted(directs, np.flatnonzero(need))]
-    cover = np.zeros(n + 1, np.int64)
-    np.add.at(cover, np.flatnonzero(need), 1)
-    np.add.at(cover, stop + 1, -1)
-    need = np.cumsum(cover[:-1]) > 0
+    cover = np.bincount(np.flatnonzero(need), minlength=n + 1).astype(np.int32)
+    cover -= np.bincount(stop + 1, minlength=n + 1).astype(np.int32)
+    need = np.cumsum(cover[:-1], dtype=np.int32) > 0
     direct = np.flatnonzero(need & small)
 
     order = _sort_direct(data, direct, depth)
@@ -213,9 +214,8 @@ def _induce(data: np.ndarray, larger: np.ndarray, places: np.ndarray, induced: l
 
 def _words(data: np.ndarray, places: np.ndarray, k: int) -> np.ndarray:
     """The k-th eight bytes of each suffix as big-endian numbers, which sort like the bytes."""
-    padded = np.concatenate([data, np.zeros(8 * k + 16, np.uint8)]) if 8 * k + 16 else data
-    view = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1)) if not k else \
-        np.lib.stride_tricks.as_strided(padded[8 * k:], (len(data), 8), (1, 1))
+    padded = np.concatenate([data[8 * k:], np.zeros(8 * k + 16, np.uint8)])
+    view = np.lib.stride_tricks.as_strided(padded, (len(data), 8), (1, 1))
     return np.ascontiguousarray(view[places]).view(">u8").ravel().astype(np.uint64)
 
 
@@ -424,7 +424,8 @@ def _search(batches):
     """Parts arrive in order; each is solved when the next one begins."""
     held: list[dict] = []
     for batch in batches:
-        for row in batch.to_pylist():
+        for at in range(batch.num_rows):
+            row = batch.slice(at, 1).to_pylist()[0]
             if held and row["part"] != held[0]["part"]:
                 yield _solve(held)
                 held = []
