@@ -1,63 +1,79 @@
 """Text normalisation and parsing as column expressions.
 
-Spark has no Unicode decomposition builtin.  For Latin text the accent folding is a
-``translate`` whose table is derived from the Unicode data at import, so it stays inside code
-generation; ``normalize_exact`` covers every script through one Arrow UDF.
+Spark has no Unicode decomposition builtin.  Folding is a ``translate`` whose table is derived from
+the Unicode data when first used: every code point of every script whose folded form differs.  Code
+points that fold to several are looked up in an array, and Hangul syllables are taken apart by
+arithmetic, both only in texts that have some.  ``normalize_exact`` is the same in one Arrow UDF.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
-LATIN_BLOCKS = ((0x00A0, 0x0250), (0x1E00, 0x1F00), (0xFB00, 0xFB07))
 _SPACES = r"[\s\p{Z}\x1c-\x1f\x85]+"
-COMBINING_MARKS = "".join(c for c in map(chr, range(0x0300, 0x10000)) if unicodedata.combining(c))
-# Code points that never occur in text; they stand in for letters that fold to several.
-_STAND_INS = [chr(code) for code in range(0xFDD0, 0xFDF0)]
+# No code point from here on changes under folding or is a combining mark.
+_LAST = 0x30000
+COMBINING_MARKS = "".join(c for c in map(chr, range(0x0300, _LAST)) if unicodedata.combining(c))
+# Code points of a plane without characters; they stand in for letters that fold to several.
+_STAND_IN = 0x40000
+# Hangul syllables: first one, their number, and the jamo of the three places (none as third).
+_SYLLABLE, _SYLLABLES = 0xAC00, 11172
+_JAMO = ([chr(0x1100 + i) for i in range(19)], [chr(0x1161 + i) for i in range(21)],
+         ["", *(chr(0x11A8 + i) for i in range(27))])
 
 
 def _strip_marks(text: str, form: str) -> str:
     return "".join(c for c in unicodedata.normalize(form, text) if not unicodedata.combining(c))
 
 
-def _folding(form: str, full_casefold: bool) -> tuple[str, str, dict[str, str]]:
-    """(from, to) for one ``translate`` and the expansions of its stand-ins.
+@lru_cache
+def _folding(form: str, full_casefold: bool) -> tuple[str, str, list[str]]:
+    """(from, to) for one ``translate`` and what each stand-in expands to, in order.
 
     Letters are mapped to their folded base letter; combining marks have no counterpart in
     ``to``, so ``translate`` drops them.
     """
-    source, target, expansions = [], [], {}
-    for first, last in LATIN_BLOCKS:
-        for code in range(first, last):
-            char = chr(code)
-            folded = _strip_marks(char, form)
-            folded = folded.casefold() if full_casefold else folded.lower()
-            if folded == char or not folded.strip():
-                continue
-            if len(folded) > 1:
-                folded = expansions.setdefault(folded, _STAND_INS[len(expansions)])
-            source.append(char)
-            target.append(folded)
-    return "".join(source) + COMBINING_MARKS, "".join(target), {v: k for k, v in expansions.items()}
-
-
-_COMPAT = _folding("NFKD", True)
-_CANONICAL = _folding("NFD", False)
-
-
-def _fold(column: Column, table: tuple[str, str, dict[str, str]]) -> Column:
-    source, target, expansions = table
+    source, target, expansions, empty = [], [], {}, []
+    for char in map(chr, range(_LAST)):
+        code = ord(char)
+        if 0xD800 <= code < 0xE000 or _SYLLABLE <= code < _SYLLABLE + _SYLLABLES or unicodedata.combining(char):
+            continue
+        folded = _strip_marks(char, form)
+        folded = folded.casefold() if full_casefold else folded.lower()
+        # Folding may bring marks and forms of its own (casefolded letters with marks).
+        if folded == char:
+            continue
+        if not folded:
+            empty.append(char)
+            continue
+        if len(folded) > 1:
+            folded = chr(_STAND_IN + expansions.setdefault(folded, len(expansions)))
+        source.append(char)
+        target.append(folded)
+    return "".join(source) + COMBINING_MARKS + "".join(empty), "".join(target), list(expansions)
+
+
+def _fold(column: Column, form: str, full_casefold: bool) -> Column:
+    source, target, expansions = _folding(form, full_casefold)
     folded = F.translate(column, source, target)
-    if expansions:
-        expanded = folded
-        for stand_in, letters in expansions.items():
-            expanded = F.replace(expanded, F.lit(stand_in), F.lit(letters))
-        rare = f"[{_STAND_INS[0]}-{_STAND_INS[-1]}]"
-        folded = F.when(folded.rlike(rare), expanded).otherwise(folded)
-    return F.lower(folded)
+    rare = (f"[{chr(_STAND_IN)}-{chr(_STAND_IN + len(expansions) - 1)}"
+            f"{chr(_SYLLABLE)}-{chr(_SYLLABLE + _SYLLABLES - 1)}]")
+    listed = lambda values: F.array(*[F.lit(v) for v in values])
+
+    def expand(char: Column) -> Column:
+        code = F.ascii(char)
+        place = code - _SYLLABLE
+        jamo = [F.element_at(listed(values), (F.floor(place / step) % len(values) + 1).cast("int"))
+                for values, step in zip(_JAMO, (588, 28, 1), strict=True)]
+        return (F.when(code.between(_STAND_IN, _STAND_IN + len(expansions) - 1),
+                       F.element_at(listed(expansions), (code - _STAND_IN + 1).cast("int")))
+                .when(code.between(_SYLLABLE, _SYLLABLE + _SYLLABLES - 1), F.concat(*jamo)).otherwise(char))
+
+    return F.when(folded.rlike(rare), F.array_join(F.transform(F.split(folded, ""), expand), "")).otherwise(folded)
 
 
 def bind(value: Column, use) -> Column:
@@ -74,8 +90,8 @@ def squeeze(column: Column) -> Column:
 
 
 def fold(column: Column) -> Column:
-    """Lower case without accents (compatibility decomposition), Latin blocks."""
-    return _fold(column, _COMPAT)
+    """Case-folded without accents (compatibility decomposition), all scripts."""
+    return _fold(column, "NFKD", True)
 
 
 def normalize_name(column: Column) -> Column:
@@ -90,7 +106,7 @@ def normalize_slug(column: Column) -> Column:
 
 def normalize_search(column: Column) -> Column:
     """Search form: accents dropped, commas and blanks merged, lower case."""
-    return F.trim(F.regexp_replace(_fold(column, _CANONICAL), r"[,\s\p{Z}]+", " "))
+    return F.trim(F.regexp_replace(_fold(column, "NFD", False), r"[,\s\p{Z}]+", " "))
 
 
 @F.pandas_udf(T.StringType())
@@ -133,7 +149,7 @@ def contains_all(column: Column, terms) -> Column:
 
 def is_inactive_status(column: Column) -> Column:
     """Cancelled or annulled, accent- and case-blind."""
-    folded = _fold(column, _CANONICAL)
+    folded = _fold(column, "NFD", False)
     return folded.contains("cancel") | folded.contains("anulad")
 
 

@@ -27,6 +27,18 @@ def test_exact_normalisation_covers_other_scripts(spark):
     assert one(spark, tx.normalize_exact(F.col("x")), x=None) is None
 
 
+def test_folding_covers_every_assigned_code_point(spark):
+    import sys
+    import unicodedata
+
+    chars = [c for c in map(chr, range(1, sys.maxunicode + 1)) if unicodedata.category(c) not in ("Cs", "Cn", "Co")]
+    lines = [("x" + "y".join(chars[i:i + 40]) + "z",) for i in range(0, len(chars), 40)]
+    rows = spark.createDataFrame(lines, "x string").select(
+        "x", tx.normalize_name(F.col("x")).alias("a"), tx.normalize_exact(F.col("x")).alias("b")).filter("a <> b").collect()
+    assert rows == []
+    assert one(spark, tx.normalize_name(F.col("x")), x="Ａcre Ⅷ 𝐑io ① 각") == "acre viii rio 1 \u1100\u1161\u11a8"
+
+
 def test_slug_and_search_forms(spark):
     assert one(spark, tx.normalize_slug(F.col("x")), x=" Área: Nº 3 — d'Água! ") == "area no 3 d agua"
     assert one(spark, tx.normalize_search(F.col("x")), x="  São José,  SC ") == "sao jose sc"
