@@ -60,11 +60,15 @@ def type_summary(fact: DataFrame, keys: Sequence[str], date: str, sums: Sequence
 def month_profile(dim: DataFrame, fact: DataFrame, unit: str, month: str, flag: str,
                   flag_name: str) -> DataFrame:
     """Dense unit x 12 months, zero where nothing happened."""
+    flagged = f"{flag_name}_event_count"
     counts = fact.groupBy(unit, F.col(month).cast("int").alias("month")).agg(
-        F.count("*").alias("event_count"), F.count_if(F.col(flag)).alias(f"{flag_name}_event_count"))
-    grid = dim.select(unit, F.explode(F.sequence(F.lit(1), F.lit(12))).alias("month"))
-    return grid.join(counts, [unit, "month"], "left").na.fill(
-        0, ["event_count", f"{flag_name}_event_count"])
+        F.count("*").alias("event_count"), F.count_if(F.col(flag)).alias(flagged))
+    # One row per unit meets the dimension; the twelve months are laid out after the join.
+    per_unit = counts.filter("month IS NOT NULL").groupBy(unit).agg(F.map_from_entries(F.collect_list(F.struct(
+        "month", F.struct("event_count", flagged)))).alias("__months"))
+    grid = dim.select(unit).join(per_unit, unit, "left").withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    cell = F.try_element_at(F.col("__months"), F.col("month"))
+    return grid.select(unit, "month", *[F.coalesce(cell[c], F.lit(0).cast("bigint")).alias(c) for c in ("event_count", flagged)])
 
 
 def yearly_counts(fact: DataFrame, unit: str, year: str, type_column: str,

@@ -64,7 +64,9 @@ def attribute_transfers(programs: DataFrame, program_proposals: DataFrame, propo
         text_or_empty(F.col("COD_MUNIC_IBGE")).alias("code"),
         F.trim(text_or_empty(F.col("OBJETO_PROPOSTA"))).alias("object"),
         lenient_int(F.col("ANO_PROP")).alias("proposal_year"), F.col(seq).alias("__seq"))
-    chosen = last_wins(typed.filter(full_match(F.col("code"), "[0-9]{7}")), ["proposal_id"], "__seq")
+    # Proposals of other programmes go before whole texts are compared or moved.
+    wanted = typed.filter(full_match(F.col("code"), "[0-9]{7}")).join(labels, "proposal_id", "left_semi")
+    chosen = last_wins(wanted, ["proposal_id"], "__seq")
     named = (chosen.drop("__seq").join(labels, "proposal_id").join(units.select("code", "name", "uf"), "code")
              .filter(mentions_unit(F.col("object"), F.col("name"), F.col("uf"))).drop("name", "uf"))
     rows = agreements.select(
@@ -104,14 +106,15 @@ def mention_join(texts: DataFrame, text_id: str, text: str, phrases: DataFrame,
     perhaps the first and the last.  One run of up to ``probe_words`` of these inner words is the
     phrase's join key: the run that the fewest other phrases contain, so phrases with a common
     passage do not all meet the same texts.  Texts offer every run of the lengths in use; the
-    substring test then decides.  Equal phrases are looked up once.  Phrases with fewer than three
-    words have no inner word to look up, so they are refused.
+    substring test then decides.  Equal phrases are looked up once.
+
+    A phrase of one or two words has no inner word.  Its longest word lies inside some word of the
+    text, so it is looked up in the distinct words of the texts by its first letters (up to three).
     """
-    slug = phrases.select(phrase_id, normalize_slug(F.col(phrase)).alias("__phrase"))
+    slug = phrases.select(phrase_id, normalize_slug(F.col(phrase)).alias("__phrase")).filter("__phrase <> ''")
     words = F.split("__phrase", " ")
-    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.size(words) - 2)).otherwise(
-        F.raise_error(F.concat(F.lit("phrase of fewer than three words: "), F.col("__phrase"))))
-    runs = (slug.select("__phrase").distinct().select("__phrase", inner.alias("__words"))
+    inner = F.slice(words, F.lit(2), F.size(words) - 2)
+    runs = (slug.filter(F.size(words) > 2).select("__phrase").distinct().select("__phrase", inner.alias("__words"))
             .withColumn("__len", F.least(F.size("__words"), F.lit(probe_words)))
             .select("__phrase", "__len", F.explode(word_runs(F.col("__words"), F.col("__len"))).alias("__key")))
     shared = runs.groupBy("__len", "__key").agg(F.count("*").alias("__n"))
@@ -119,12 +122,35 @@ def mention_join(texts: DataFrame, text_id: str, text: str, phrases: DataFrame,
              .agg(F.min(F.struct("__n", "__len", "__key")).alias("__probe"))
              .select("__phrase", "__probe.__len", "__probe.__key"))
     # At most ``probe_words`` values.
-    lengths = slug.agg(F.sort_array(F.collect_set(
+    lengths = slug.filter(F.size(words) > 2).agg(F.sort_array(F.collect_set(
         F.least(F.size(words) - 2, F.lit(probe_words))))).scalar()
-    offered = (texts.select(text_id, F.split(normalize_slug(F.col(text)), " ").alias("__tokens"))
-               .withColumn("__len", F.explode(lengths))
+    tokens = texts.select(text_id, F.split(normalize_slug(F.col(text)), " ").alias("__tokens"))
+    offered = (tokens.withColumn("__len", F.explode(lengths))
                .select(text_id, "__len", F.explode(word_runs(F.col("__tokens"), F.col("__len"))).alias("__key")))
-    candidates = offered.join(keyed, ["__len", "__key"]).select(text_id, "__phrase")
+    candidates = (offered.join(keyed, ["__len", "__key"]).select(text_id, "__phrase")
+                  .unionByName(_short_mentions(tokens, text_id, slug.filter(F.size(words) <= 2))).distinct())
     pairs = candidates.join(texts.select(text_id, text), text_id).filter(
         normalize_slug(F.col(text)).contains(F.col("__phrase")))
     return pairs.join(slug, "__phrase").select(text_id, phrase_id)
+
+
+def _short_mentions(tokens: DataFrame, text_id: str, slug: DataFrame) -> DataFrame:
+    """Candidate pairs (text, phrase) for phrases of one or two words, through the texts' distinct words.
+
+    Without such phrases no word leaves its row.
+    """
+    words = F.split("__phrase", " ")
+    longest = F.when((F.size(words) > 1) & (F.length(words[1]) > F.length(words[0])), words[1]).otherwise(words[0])
+    short = (slug.select("__phrase").distinct().select("__phrase", longest.alias("__word"))
+             .withColumn("__size", F.least(F.lit(3), F.length("__word")))
+             .withColumn("__gram", F.substring("__word", 1, 3)))
+    sizes = short.agg(F.sort_array(F.collect_set("__size"))).scalar()
+    pairs = tokens.filter(F.size(sizes) > 0).select(text_id, F.explode(F.array_distinct("__tokens")).alias("__token"))
+    grams = (pairs.select("__token").distinct().withColumn("__size", F.explode(sizes))
+             .filter(F.length("__token") >= F.col("__size"))
+             .select("__token", "__size", F.explode(F.array_distinct(F.transform(
+                 F.sequence(F.lit(1), F.length("__token") - F.col("__size") + 1),
+                 lambda i: F.col("__token").substr(i, F.col("__size"))))).alias("__gram")))
+    found = (grams.join(short, ["__size", "__gram"]).filter(F.col("__token").contains(F.col("__word")))
+             .select("__token", "__phrase").distinct())
+    return pairs.join(found, "__token").select(text_id, "__phrase")

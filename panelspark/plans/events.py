@@ -9,7 +9,7 @@ from panelspark.operators.release import input_signature, output_fingerprints, r
 from panelspark.plans.runner import Layout, Stage, run_source
 from panelspark.presets import events as ev
 from panelspark.quality import checks as q
-from panelspark.sources.readers import read_contract_csv, read_landed_sheet, with_source_row_number
+from panelspark.sources.readers import file_inventory, read_contract_csv, read_landed_sheet, with_source_row_number
 
 VERSION = "events-1"
 TABLES = ("dim_disaster_type", "monetary_correction_factor", "silver_disaster_event",
@@ -113,7 +113,9 @@ def event_checks(tables: dict[str, DataFrame], raw: DataFrame, dim: DataFrame, f
     ]
     if inventory is not None:
         parts.append(q.non_empty(inventory, "raw", "raw_resources_are_nonempty_and_readable"))
-    if original_ids is not None and corrected is not None:
+    if original_ids is None or corrected is None:
+        parts.append(q.not_run(spark, "raw", "csv_and_workbook_event_sets_reconcile", "no workbook copies were given"))
+    else:
         key = "Protocolo_S2iD"
         compared = keys.compare_copies(raw, corrected, key, conform.workbook_comparators())
         to_original = keys.key_comparison_counts(raw, original_ids, [key])
@@ -160,9 +162,10 @@ def run_events(spark: SparkSession, layout: Layout, csv_path: str, types_path: s
                original_path: str | None = None, corrected_path: str | None = None, **lineage) -> dict:
     raw = with_source_row_number(read_contract_csv(spark, csv_path, ev.EVENT_CONTRACT, cp1252=True))
     dim = spark.read.parquet(layout.table("dim_municipality"))
-    copies = {}
+    # Content is not read: sizes alone tell an empty file.
+    copies = {"inventory": file_inventory(spark, csv_path).select("path", "content_length")}
     if original_path and corrected_path:
-        copies = {"original_ids": read_landed_sheet(spark, original_path).select("Protocolo_S2iD"),
+        copies |= {"original_ids": read_landed_sheet(spark, original_path).select("Protocolo_S2iD"),
                   "corrected": read_landed_sheet(spark, corrected_path)}
 
     def build(stage: Stage) -> dict[str, DataFrame]:

@@ -19,7 +19,7 @@ from panelspark.operators.keys import (dependency_violations, duplicate_keys, ke
                                        mismatch_counts, only_in_left)
 from panelspark.operators.ordering import exact_quantiles
 
-PASS, FAIL = "PASS", "FAIL"
+PASS, FAIL, NOT_RUN = "PASS", "FAIL", "NOT_RUN"
 RESULT_COLUMNS = ("table", "name", "status", "observed", "expected")
 
 
@@ -71,6 +71,12 @@ def judge(row: DataFrame, table: str, name: str, expected: dict | str,
     return row.select(_result(table, Check(name, columns, expected, passed), columns).alias("r")).select("r.*")
 
 
+def not_run(spark, table: str, name: str, reason: str) -> DataFrame:
+    """A row that says a check was left out, and why; it does not stop a run."""
+    return spark.range(1).select(F.lit(table).alias("table"), F.lit(name).alias("name"), F.lit(NOT_RUN).alias("status"),
+                                 F.to_json(F.struct(F.lit(reason).alias("reason"))).alias("observed"), F.lit("run").alias("expected"))
+
+
 def union_checks(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 

@@ -130,3 +130,14 @@ def test_copies_with_a_hot_key_do_not_multiply(spark):
     assert compared.count() == 3
     row = keys.mismatch_counts(compared).first()
     assert (row.compared_rows, row.differing_rows, row.v_differences) == (501 * 400 + 1, 401, 401)
+
+
+def test_phrases_of_one_and_two_words_are_answered(spark):
+    texts = spark.createDataFrame([(1, "Obras em São Paulo e no Acre"), (2, "massacre na rua"), (3, "são paulinho"),
+                                   (4, "paulo são"), (5, "Rio de Janeiro, capital"), (6, None)], "id int, t string")
+    phrases = spark.createDataFrame([("a", "São Paulo"), ("b", "Acre"), ("c", "rio de janeiro"), ("d", "e"), ("e", ""), ("f", "ão paul")],
+                                    "p string, name string")
+    got = {(r.id, r.p) for r in evidence.mention_join(texts, "id", "t", phrases, "p", "name").collect()}
+    slugs = {1: "obras em sao paulo e no acre", 2: "massacre na rua", 3: "sao paulinho", 4: "paulo sao", 5: "rio de janeiro capital"}
+    names = {"a": "sao paulo", "b": "acre", "c": "rio de janeiro", "d": "e", "f": "ao paul"}
+    assert got == {(i, p) for i, t in slugs.items() for p, n in names.items() if n in t}
