@@ -47,6 +47,26 @@ def class_hierarchy(wide: DataFrame, class_column: str = "class",
     return distinct.select("class_id", *[F.col(c).alias(f"{c}_name") for c in levels])
 
 
+def indicator_classes(hierarchy: DataFrame, legend: DataFrame, names: dict[str, str] = pn.CLASS_NAMES,
+                      branches: dict[str, tuple[str, ...]] = pn.BRANCHES,
+                      not_observed: str = pn.NOT_OBSERVED) -> DataFrame:
+    """(indicator, class_id): classes by legend name, by branch, not observed, and mapped.
+
+    Names are compared case-blind with the legend, branches with the first level of the hierarchy.
+    """
+    listed = lambda pairs: F.array(*[F.struct(F.lit(k).alias("indicator"), F.lit(v).alias("wanted")) for k, v in pairs])
+    hidden = F.coalesce(F.col("class_level_1_name").rlike(f"(?i){not_observed}"), F.lit(False))
+    named = (legend.select("class_id", F.lower("class_name_pt_br").alias("__name"),
+                           F.explode(listed([(k, n.lower()) for k, n in names.items()])).alias("e"))
+             .filter(F.col("__name") == F.col("e.wanted")))
+    inside = (hierarchy.select("class_id", F.col("class_level_1_name").alias("__name"),
+                               F.explode(listed([(k, b) for k, group in branches.items() for b in group])).alias("e"))
+              .filter(F.col("__name") == F.col("e.wanted")))
+    seen = hierarchy.select(F.when(hidden, "not_observed").otherwise("mapped").alias("indicator"), "class_id")
+    pick = lambda df: df.select("e.indicator", "class_id")
+    return pick(named).unionByName(pick(inside)).unionByName(seen)
+
+
 def class_semantics(hierarchy: DataFrame, legend: DataFrame,
                     names: dict[str, str] = pn.CLASS_NAMES,
                     branches: dict[str, tuple[str, ...]] = pn.BRANCHES,

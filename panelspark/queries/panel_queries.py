@@ -239,11 +239,9 @@ def class_legend_full_join(spark, folder):
   SELECT 'not_observed', class_id FROM h WHERE regexp_matches(l1, 'branch 4', 'i') UNION ALL
   SELECT 'mapped', class_id FROM h WHERE NOT regexp_matches(l1, 'branch 4', 'i')""")
 def class_semantics(spark, folder):
-    s = _semantics(spark, folder)
-    groups = {**{k: (v,) for k, v in s.named.items()}, **s.branches, "not_observed": s.not_observed,
-              "mapped": s.mapped}
-    return spark.createDataFrame([(k, c) for k, ids in groups.items() for c in ids],
-                                 "indicator string, class_id int")
+    """Which classes each indicator stands for."""
+    return op.indicator_classes(_hierarchy(spark, folder), _legend(spark, folder), _NAMES, _BRANCHES,
+                                "Branch 4").withColumn("class_id", F.col("class_id").cast("int"))
 
 
 @query("full_outer_flags", f"""WITH {_HIER} SELECT coalesce(h.class_id, leg.class_id) AS class_id,
