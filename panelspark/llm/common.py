@@ -135,7 +135,9 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
     Alternates large-star and small-star rounds, which halve path lengths, so a chain of n nodes
     takes about log n rounds.  Neighbourhoods are only ever reduced to their minimum (with map-side
-    partial aggregation), never gathered.  Each round is written to the checkpoint folder.
+    partial aggregation), never gathered.  Minima are written to the checkpoint folder before they
+    are joined, so that both sides of a join are plain exchanges and a node with very many links is
+    split among tasks.
     Null ends are ignored; loops and repeated links are harmless.
     """
     a, b = F.col("a"), F.col("b")
@@ -143,12 +145,12 @@ def components(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
                         .select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct())
     for _ in range(rounds):
         both = edges.unionByName(edges.select(b.alias("a"), a.alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), a).alias("low"))
+        low = cut_lineage(both.groupBy("a").agg(F.least(F.min("b"), a).alias("low")))
         # Larger neighbours of each node move to the smallest node around it.
-        large = (edges.select(b.alias("a"), a.alias("up")).join(low, "a")
-                 .select(F.col("up").alias("a"), F.col("low").alias("b")).filter(a != b).distinct())
+        large = cut_lineage(edges.select(b.alias("a"), a.alias("up")).join(low, "a")
+                            .select(F.col("up").alias("a"), F.col("low").alias("b")).filter(a != b).distinct())
         # Smaller neighbours and the node itself move to the smallest one.
-        low = large.groupBy("a").agg(F.min("b").alias("low"))
+        low = cut_lineage(large.groupBy("a").agg(F.min("b").alias("low")))
         small = (large.join(low, "a")
                  .select(F.explode(F.array(F.struct(a.alias("a"), F.col("low").alias("b")),
                                            F.struct(b.alias("a"), F.col("low").alias("b")))).alias("e"))
