@@ -99,7 +99,7 @@ def op4_simhash(spark, folder):
 
 @query("op5_lines")
 def op5_lines(spark, folder):
-    found = repeated_lines(proposals(spark, folder))
+    found = repeated_lines(proposals(spark, folder), bands=True)
     return found.select(F.col("ID_PROPOSTA").alias("doc_id"), "n_lines", F.size("removed").cast("long").alias("n_removed"),
                         F.array_join("removed", ",").alias("removed_lines"))
 
