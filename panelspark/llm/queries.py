@@ -152,6 +152,12 @@ def op8_mixing(spark, folder):
     return mix_narratives(events).withColumnRenamed("Protocolo_S2iD", "doc_id")
 
 
+def _passage_columns(found: DataFrame) -> DataFrame:
+    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return found.select(F.col("ID_PROPOSTA").alias("doc_id"), "n_units", "n_removed", "chars_removed",
+                        F.array_join(spans, ",").alias("removed"))
+
+
 @query("op9_passages", sql=r"""
 WITH u AS (SELECT doc_id, i, piece, CAST(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop,
     trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS norm
@@ -169,10 +175,29 @@ SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, coalesce(n_rem
   coalesce(removed, '') AS removed
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN k USING (doc_id)""")
 def op9_passages(spark, folder):
-    found = repeated_passages(proposals(spark, folder))
-    spans = F.transform("removed", lambda s: F.concat_ws("-", s["start"], s["end"]))
-    return found.select(F.col("ID_PROPOSTA").alias("doc_id"), "n_units", "n_removed", "chars_removed",
-                        F.array_join(spans, ",").alias("removed"))
+    return _passage_columns(repeated_passages(proposals(spark, folder)))
+
+
+@query("op9_passages_and_lines", sql=r"""
+WITH c AS (SELECT doc_id, 's' AS kind, 5 AS least, regexp_extract_all(coalesce(text, ''), '[^.!?\n]+[.!?\n]*|[.!?\n]+') AS p FROM documents
+  UNION ALL SELECT doc_id, 'l', 1, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') FROM documents),
+u AS (SELECT doc_id, kind, least, CAST(sum(length(piece)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS BIGINT) AS stop, length(piece) AS size,
+    trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) AS norm
+  FROM (SELECT doc_id, kind, least, unnest(p) AS piece, unnest(range(1, len(p) + 1)) AS i FROM c)),
+r AS (SELECT *, stop - size AS start, row_number() OVER (PARTITION BY kind, norm ORDER BY doc_id, stop) AS place FROM u
+  WHERE norm <> '' AND len(string_split(norm, ' ')) >= least),
+x AS (SELECT doc_id, CAST(count(DISTINCT (start, stop)) AS BIGINT) AS n_removed FROM r WHERE place > 1 GROUP BY doc_id),
+g AS (SELECT doc_id, start, stop, CASE WHEN start <= max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+  THEN 0 ELSE 1 END AS opens FROM r WHERE place > 1),
+h AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM g),
+j AS (SELECT doc_id, run, min(start) AS start, max(stop) AS stop FROM h GROUP BY doc_id, run),
+k AS (SELECT doc_id, CAST(sum(stop - start) AS BIGINT) AS chars_removed, string_agg(start || '-' || stop, ',' ORDER BY start) AS removed FROM j GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_units FROM u GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_units, 0) AS BIGINT) AS n_units, coalesce(n_removed, 0) AS n_removed, coalesce(chars_removed, 0) AS chars_removed,
+  coalesce(removed, '') AS removed
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN x USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def op9_passages_and_lines(spark, folder):
+    return _passage_columns(repeated_passages(proposals(spark, folder), whole_lines=True))
 
 
 @query("op10_decontamination", sql=r"""

@@ -49,3 +49,15 @@ def test_equal_rows_and_null_ids(spark):
     got = sorted((r.ID_PROPOSTA or 0, r.n_removed) for r in repeated_passages(proposals(spark, rows)).collect())
     assert got == [(0, 0), (1, 1), (1, 1)]
     assert repeated_passages(proposals(spark, [])).collect() == []
+
+
+def test_whole_lines_of_any_length(spark):
+    rows = [(1, "All rights reserved\nOutra linha"), (2, "texto novo\nall RIGHTS reserved!\nfim"), (3, "Não. Sim. Talvez. Nunca. Já.\n!!!"),
+            (4, "não sim talvez nunca já\n!!!"), (5, "uma obra de drenagem na rua. Fim da lista."), (6, "uma obra de drenagem na rua. Outra."),
+            (7, "uma obra de drenagem na rua. Outra.")]
+    df = proposals(spark, rows)
+    found = repeated_passages(df, whole_lines=True)
+    out = {r.id: (r.kept, r.chars_removed) for r in df.withColumnRenamed("ID_PROPOSTA", "id").join(
+        found.withColumnRenamed("ID_PROPOSTA", "id"), "id").select("id", "chars_removed", kept_text("OBJETO_PROPOSTA", "removed").alias("kept")).collect()}
+    assert out == {1: (rows[0][1], 0), 2: ("texto novo\nfim", 21), 3: (rows[2][1], 0), 4: ("!!!", 24), 5: (rows[4][1], 0),
+                   6: (" Outra.", 28), 7: ("", 35)}
