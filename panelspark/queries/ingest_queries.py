@@ -64,6 +64,17 @@ def landed_sheet(spark, folder):
     return read_range(sheet.withColumn("row", F.col("o_orderkey").cast("long")), 100, 5000, ["o_orderkey", "o_orderstatus"], "row")
 
 
+@query("landed_sheet_rows", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus FROM orders")
+def landed_sheet_rows(spark, folder):
+    """All rows of a landed sheet: the range runs from the table's own first key to its last."""
+    path = scratch_path(spark, "sheet-rows")
+    rows = _orders(spark, folder)
+    write_parquet(rows, path, sort_by=["o_orderkey"])
+    ends = rows.agg(F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last")).first()
+    sheet = read_landed_sheet(spark, path).withColumn("row", F.col("o_orderkey").cast("long"))
+    return read_range(sheet, ends["first"], ends["last"], ["o_orderkey", "o_orderstatus"], "row")
+
+
 def _territory(spark, folder):
     """Customers as nested territory rows: a unit inside a region (nation), state (segment) and world region."""
     nations = table(spark, folder, "nation").select("n_nationkey", "n_name", "n_regionkey")
@@ -201,6 +212,17 @@ def archived_release(spark, folder):
     return spark.read.parquet(path).groupBy("source_release").agg(F.count("*").alias("rows"), F.min("o_orderkey").alias("first_key"))
 
 
+@query("archived_release_rows", "SELECT 'r1' AS source_release, o_orderstatus, count(*) AS rows, min(o_orderkey) AS first_key FROM orders GROUP BY o_orderstatus")
+def archived_release_rows(spark, folder):
+    """A release of all orders is archived once; a second attempt with other values leaves it as it was."""
+    path = scratch_path(spark, "archive-rows")
+    rows = _orders(spark, folder)
+    archive_release(rows, path, "r1")
+    archive_release(rows.withColumn("o_orderstatus", F.lit("X")), path, "r1")
+    return spark.read.parquet(path).groupBy("source_release", "o_orderstatus").agg(
+        F.count("*").alias("rows"), F.min("o_orderkey").alias("first_key"))
+
+
 @query("run_record", """SELECT 'orders' AS source, 'r2' AS release, count(*) AS rows, TRUE AS unchanged, FALSE AS unchanged_with_other_input,
   FALSE AS unchanged_with_other_dimension FROM orders""")
 def run_record(spark, folder):
