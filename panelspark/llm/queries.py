@@ -11,10 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from panelspark.llm.bpe import count_proposal_tokens
-from panelspark.llm.common import read_table
+from panelspark.llm.common import read_table, stage_table
 from panelspark.llm.decontaminate import find_evaluation_items
+from panelspark.llm.histories import history_steps, history_trie
 from panelspark.llm.lines import repeated_lines
 from panelspark.llm.mixing import mix_narratives
+from panelspark.llm.negatives import hard_negatives
+from panelspark.llm.pages import main_text
 from panelspark.llm.passages import repeated_passages
 from panelspark.llm.quality import proposal_quality
 from panelspark.llm.simhash import link_similar_proposals
@@ -42,6 +45,13 @@ def proposals(spark: SparkSession, folder: str) -> DataFrame:
         F.col("doc_id").alias("ID_PROPOSTA"), F.col("text").alias("OBJETO_PROPOSTA"))
 
 
+def whole_profiles(embeddings: DataFrame) -> DataFrame:
+    """Rows whose vectors are finite throughout, with the whole numbers that a profile is made of."""
+    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")))
+    return embeddings.filter(F.col("embedding").isNotNull() & finite).withColumn("perfil", whole)
+
+
 def held_out() -> Column:
     """Rows that are never learnt from; a null id is not one of them."""
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
@@ -67,10 +77,7 @@ p AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum([z[1] * z[2]
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 5""")
 def op1_topk(spark, folder):
-    finite = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    units = (read_table(spark, folder, "embeddings").filter(F.col("embedding").isNotNull() & finite)
-             .select(F.col("vec_id").alias("codigo_ibge"),
-                     F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("perfil")))
+    units = whole_profiles(read_table(spark, folder, "embeddings")).select(F.col("vec_id").alias("codigo_ibge"), "perfil")
     best = nearest_profiles(units, units.filter(F.col("codigo_ibge") % 50 == 0))
     return best.select(F.col("query").alias("query_id"), "rank", F.col("codigo_ibge").alias("vec_id"), "score")
 
@@ -219,3 +226,79 @@ def op10_decontamination(spark, folder):
     return found.select(F.col("ID_PROPOSTA").alias("doc_id"), "n_words", "n_hit",
                         F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
+@query("op11_pages", sql=r"""
+WITH a AS (SELECT page_id, url, coalesce(html, '') AS html, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1) AS body,
+    regexp_extract(lower(coalesce(url, '')), '^[a-z]+://([^/:?#]+)', 1) AS host FROM pages),
+t AS (SELECT page_id, url, array_to_string([b FOR b IN [trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
+      '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&nbsp;', ' '), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))
+    FOR x IN string_split_regex(body, '</?(?:p|h1)>')] IF b <> ''], chr(10) || chr(10)) AS text FROM a),
+f AS (SELECT DISTINCT page_id, url, host, regexp_extract_all(replace(replace(regexp_replace(regexp_replace(regexp_replace(html,
+    '(?s)<head>.*</head>|<article>.*</article>', ' ', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '[^\x20\x09-\x0D]+') AS w FROM a),
+g AS (SELECT page_id, url, host, i, list_slice(w, i, i + 3) AS run FROM (SELECT *, unnest(range(1, len(w) - 2)) AS i FROM f)),
+s AS (SELECT host, run FROM g GROUP BY host, run HAVING min(url) < max(url)),
+n AS (SELECT page_id, url, CAST(count(DISTINCT place) AS BIGINT) AS n FROM (SELECT page_id, url, unnest(range(i, i + 4)) AS place FROM g JOIN s USING (host, run)) GROUP BY page_id, url)
+SELECT t.page_id, t.url, t.text, CAST(length(t.text) AS BIGINT) AS n_chars, coalesce(n.n, 0) AS n_boilerplate FROM t LEFT JOIN n USING (page_id, url)""")
+def op11_pages(spark, folder):
+    return main_text(read_table(spark, folder, "pages"))
+
+
+def _led_alike(steps: DataFrame, units: DataFrame) -> DataFrame:
+    """Steps of every unit u after its first h are led by the first h steps of unit u - u % 20; h is crc32(u) % 4."""
+    lead = units.select("unit", (F.col("unit") - F.col("unit") % 20).alias("led_by"),
+                        (F.crc32(F.col("unit").cast("string").cast("binary")) % 4).alias("h"))
+    first = steps.filter((F.col("unit") % 20 == 0) & (F.col("place") <= 3)).withColumnRenamed("unit", "led_by")
+    first = lead.join(first, "led_by").filter(F.col("place") <= F.col("h")).select("unit", "place", "step", "words")
+    taken = lead.join(first.groupBy("unit").agg(F.count("*").alias("taken")), "unit", "left")
+    own = steps.join(taken, "unit").filter(F.col("place") > F.col("h")).select(
+        "unit", (F.col("place") - F.col("h") + F.coalesce("taken", F.lit(0))).alias("place"), "step", "words")
+    return first.unionByName(own)
+
+
+@query("op12_histories", sql=r"""
+WITH o AS (SELECT conv_id, list(struct_pack(r := coalesce(role, ''), x := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''),
+    sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || ':' || coalesce(text, ''))) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+c AS (SELECT *, [CAST(ord(x) AS BIGINT) FOR x IN string_split(CAST(conv_id AS VARCHAR), '')] AS bytes FROM o),
+h AS (SELECT conv_id, own, xor(list_reduce(list_prepend(4294967295, bytes), lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h FROM c),
+r AS (SELECT a.conv_id, list_concat(coalesce(list_slice(b.own, 1, a.h), []), list_slice(a.own, a.h + 1, len(a.own))) AS seq
+  FROM h a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 20),
+p AS (SELECT conv_id, d, list_slice(seq, 1, d) AS k, len(seq) AS n FROM (SELECT *, unnest(range(0, len(seq) + 1)) AS d FROM r)),
+n AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends FROM p GROUP BY k, d),
+m AS (SELECT n.*, f.conv_id AS parent_conv_id, CASE WHEN n.d = 0 THEN 0 ELSE coalesce(len(regexp_extract_all(n.k[n.d].x, '[^\x20\x09-\x0D]+')), 0) END AS words
+  FROM n LEFT JOIN n f ON n.d > 0 AND f.d = n.d - 1 AND f.k = list_slice(n.k, 1, n.d - 1)),
+c2 AS (SELECT parent_conv_id, d - 1 AS d, count(*) AS n_children FROM m WHERE d > 0 GROUP BY ALL),
+q AS (SELECT m.*, coalesce(c2.n_children, 0) AS n_children FROM m LEFT JOIN c2 ON c2.parent_conv_id = m.conv_id AND c2.d = m.d),
+s AS (SELECT p.k, p.d, sum(CASE WHEN q.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((q.n_convs - 1) * q.words) AS saved FROM q JOIN p ON p.conv_id = q.conv_id AND p.d <= q.d GROUP BY p.k, p.d)
+SELECT q.conv_id, CAST(q.d AS BIGINT) AS depth, q.parent_conv_id, q.n_convs, q.n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved AS BIGINT) AS saved_tokens, q.ends AS ends_sha256 FROM q JOIN s ON s.k = q.k AND s.d = q.d""")
+def op12_histories(spark, folder):
+    held = read_table(spark, folder, "conversations").select(
+        F.col("conv_id").alias("codigo_ibge"), F.col("turn").alias("event_date"), F.col("role").alias("cobrade_code"),
+        F.col("text").alias("human_damage_description"))
+    steps = stage_table(history_steps(held))
+    units = steps.select("unit").distinct()
+    trie = history_trie(_led_alike(steps, units), units)
+    return trie.select(F.col("unit").alias("conv_id"), "depth", F.col("parent_unit").alias("parent_conv_id"),
+                       F.col("n_units").alias("n_convs"), "n_children", "n_leaves", F.col("saved_words").alias("saved_tokens"),
+                       F.col("ends").alias("ends_sha256"))
+
+
+@query("op13_negatives", sql="""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS peer, CAST(coalesce(list_sum([z[1] * z[2] FOR z IN list_zip(a.v, c.v)]), 0) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.vec_id <> c.vec_id AND len(a.v) = len(c.v)),
+s AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM p WHERE peer),
+n AS (SELECT s.anchor_id, s.id AS positive_id, p.id AS negative_id, s.score AS positive_score, p.score AS negative_score,
+    row_number() OVER (PARTITION BY s.anchor_id, s.id ORDER BY p.score DESC, p.id) AS rank
+  FROM s JOIN p USING (anchor_id) WHERE s.place <= 5 AND NOT p.peer AND 80 * s.score <= 100 * p.score AND p.score <= s.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5""")
+def op13_negatives(spark, folder):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    units = whole_profiles(read_table(spark, folder, "embeddings")).select(
+        F.col("vec_id").alias("codigo_ibge"), label.alias("codigo_regiao_imediata"), "perfil")
+    mined = hard_negatives(units, units.filter(F.col("codigo_ibge") % 100 == 0))
+    return mined.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank",
+                        F.col("negative").alias("negative_id"), "positive_score", "negative_score")
