@@ -7,6 +7,7 @@ so the joins carry one row per unit and arrays bounded by years, months and type
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from panelspark.functions import states as st
 from panelspark.functions.numbers import json_number, percentage
@@ -363,11 +364,34 @@ def _any(conditions):
     return result
 
 
-def document_violations(profiles: DataFrame) -> DataFrame:
-    """(unit, rule) for every broken rule of the document contract; null conditions count as broken."""
+def _broken_rules() -> Column:
+    """The names of the broken rules of one document; null conditions count as broken."""
     broken = F.array(*[F.when(F.coalesce(condition, F.lit(name not in _NULL_IS_FINE)), F.lit(name))
                        for name, condition in document_rules().items()])
-    return profiles.select(UNIT, F.explode(F.filter(broken, lambda r: r.isNotNull())).alias("rule"))
+    return F.filter(broken, lambda r: r.isNotNull())
+
+
+def document_violations(profiles: DataFrame) -> DataFrame:
+    """(unit, rule) for every broken rule of the document contract."""
+    return profiles.select(UNIT, F.explode(_broken_rules()).alias("rule"))
+
+
+def encoded_violations(encoded: DataFrame, schema: StructType) -> DataFrame:
+    """(unit, rule) for every broken rule, judged on the encoded documents as published, in one pass.
+
+    ``encoded`` has the unit and ``document``; ``schema`` is that of the ten sections.  A text that is
+    not JSON breaks ``readable`` alone; a section that is absent or null breaks ``section_<name>``
+    besides the rules that need it.
+    """
+    read = lambda s: F.try_variant_get("v", f"$.{s}", "variant")
+    absent = F.array(*[F.when(F.coalesce(F.is_variant_null(read(s)), F.lit(True)) | read(s).isNull(), F.lit(f"section_{s}"))
+                       for s in SECTIONS])
+    parsed = encoded.select(UNIT, F.try_parse_json("document").alias("v"), "document")
+    decoded = parsed.select(UNIT, F.col("v").isNotNull().alias("readable"),
+                            F.filter(absent, lambda r: r.isNotNull()).alias("absent"),
+                            F.from_json(F.when(F.col("v").isNotNull(), F.col("document")), schema).alias("d"))
+    return decoded.select(UNIT, "readable", "absent", "d.*").select(UNIT, F.explode(
+        F.when(F.col("readable"), F.concat("absent", _broken_rules())).otherwise(F.array(F.lit("readable")))).alias("rule"))
 
 
 #: Rules whose condition is null by design for units without coverage.

@@ -5,6 +5,7 @@ from panelspark.queries import (  # noqa: F401
     ingest_queries,
     key_queries,
     panel_queries,
+    profile_queries,
     publish_queries,
     quality_queries,
     text_queries,

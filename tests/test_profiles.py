@@ -206,3 +206,31 @@ def test_repeated_months_are_refused(spark):
     twice = tables["months"].unionByName(tables["months"].filter("month = 8"))
     with pytest.raises(Exception, match="month profile repeated for 4202404"):
         profiles.months_section(tables["dim"], twice, tables["snapshot"]).collect()
+
+
+def test_the_encoded_document_is_judged(spark):
+    from pyspark.sql.types import StructType
+
+    documents = profiles.unit_profiles(**gold.gold_tables(spark), legacy=gold.legacy(spark))
+    schema = StructType([documents.schema[s] for s in profiles.SECTIONS])
+    text, code = F.col("document"), F.col("codigo_ibge")
+    swap = lambda old, new: F.replace(text, F.lit(old), F.lit(new))
+    encoded = profiles.encode(documents).select("codigo_ibge", F.when(code == "4202404", F.lit('{"census":'))
+        .when(code == "3550308", F.lit(None)).when(code == "3304557", swap('"transfers":', '"transfers_":'))
+        .when(code == "5300108", swap('"schema_version":"v1"', '"schema_version":null')).otherwise(text).alias("document"))
+    found = {(r.codigo_ibge, r.rule) for r in profiles.encoded_violations(encoded, schema).collect()}
+    assert found == {("4202404", "readable"), ("3550308", "readable"), ("3304557", "section_transfers"),
+                     ("3304557", "transfers_state"), ("5300108", "section_schema_version"), ("5300108", "schema_version")}
+    assert profiles.encoded_violations(encoded.limit(0), schema).count() == 0
+
+
+def test_each_input_of_the_profile_is_exchanged_by_unit_once(spark):
+    """The sections meet already partitioned by unit: no exchange lies above a join on the unit."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = profiles.unit_profiles(**gold.gold_tables(spark), legacy=gold.legacy(spark))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    top = [line for line in plan.splitlines() if "SortMergeJoin [codigo_ibge" in line or "Exchange hashpartitioning" in line]
+    first_exchange = next(i for i, line in enumerate(top) if "Exchange" in line)
+    assert first_exchange >= 8, top[:12]
