@@ -7,7 +7,7 @@ import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.operators.keys import key_comparison_counts
 
@@ -26,19 +26,48 @@ def schema_fingerprint(tables: dict[str, DataFrame]) -> str:
     return _digest({name: df.dtypes for name, df in tables.items()})
 
 
+def _cell_text(name: str, kind: str) -> Column:
+    """A cell as text; nested values as JSON, maps through their sorted entries, bytes in hex."""
+    column = F.col(f"`{name}`")
+    if kind == "map":
+        column, kind = F.array_sort(F.map_entries(column)), "array"
+    if kind in ("array", "struct"):
+        return F.when(column.isNotNull(), F.to_json(F.struct(column), {"ignoreNullFields": "false"}))
+    return F.hex(column) if kind == "binary" else column.cast("string")
+
+
+def partition_digests(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per partition ``keys`` its ``rows`` and two order-free sums ``a`` and ``b`` of row digests.
+
+    A row is the text of its cells, each after its length (null: ``-``), and its digest the two halves of
+    the MD5 of that; any engine can repeat it.  Sums of partitions add up to those of the table, and
+    equal pairs of rows do not cancel.
+    """
+    cells = [_cell_text(f.name, f.dataType.typeName()) for f in df.schema.fields]
+    row = F.md5(F.concat(*[F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]).cast("binary"))
+    half = lambda start: F.conv(F.substring("__md5", start, 15), 16, 10).cast("decimal(38,0)")
+    sums = [F.count("*").alias("rows"), F.sum(half(1)).alias("a"), F.sum(half(17)).alias("b")]
+    marked = df.select(*keys, row.alias("__md5"))
+    return marked.groupBy(*keys).agg(*sums) if keys else marked.agg(*sums)
+
+
 def table_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free content hash of a table: one row with ``rows`` and ``fingerprint``.
+    """Order-free content hash of a table: one row with ``rows`` and ``fingerprint``."""
+    total = partition_digests(df)
+    return total.select("rows", F.sha2(F.concat_ws("|", *total.columns), 256).alias("fingerprint"))
+
+
+def moved_partitions(previous: DataFrame, current: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each partition of two sets of digests with its ``state``: unchanged, changed, added or removed.
 
-    Two independent hashes are summed (not xor-ed, which would cancel equal pairs of rows).
-    Map columns are hashed through their sorted entries.
+    Only the partitions that are not unchanged need to be read again.
     """
-    columns = [F.array_sort(F.map_entries(F.col(f"`{f.name}`"))) if f.dataType.typeName() == "map"
-               else F.col(f"`{f.name}`") for f in df.schema.fields]
-    row = F.struct(*columns)
-    first = F.xxhash64(row).cast("decimal(38,0)")
-    second = F.xxhash64(F.lit("second"), row).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.sum(first).alias("a"), F.sum(second).alias("b")).select(
-        "rows", F.sha2(F.concat_ws("|", "rows", "a", "b"), 256).alias("fingerprint"))
+    old = previous.select(*keys, F.struct("rows", "a", "b").alias("old"))
+    new = current.select(*keys, F.struct("rows", "a", "b").alias("new"))
+    state = (F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed")
+             .when(F.col("old") == F.col("new"), "unchanged").otherwise("changed"))
+    return old.join(new, list(keys), "full").select(
+        *keys, F.coalesce("new", "old")["rows"].alias("rows"), state.alias("state"))
 
 
 def output_fingerprints(tables: dict[str, DataFrame]) -> dict[str, str]:

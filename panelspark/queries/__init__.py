@@ -1,6 +1,7 @@
 """Queries over the driver tables; importing this package fills the registry."""
 
 from panelspark.queries import (  # noqa: F401
+    consumer_queries,
     event_queries,
     ingest_queries,
     key_queries,

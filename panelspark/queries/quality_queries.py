@@ -300,12 +300,32 @@ def parity_summary(spark, folder):
     return release.parity_summary(old, new, "unit", metrics)
 
 
-@query("table_fingerprint")
+def _fingerprint_sql(name, *columns):
+    cell = lambda c: f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    half = lambda start: f"sum(CAST(CAST('0x' || substr(m, {start}, 15) AS UBIGINT) AS HUGEINT))"
+    return f"""SELECT '{name}' AS name, count(*) AS rows, sha256(count(*) || '|' || {half(1)} || '|' || {half(17)}) AS fingerprint
+      FROM (SELECT md5({" || ".join(cell(c) for c in columns)}) AS m FROM {name})"""
+
+
+@query("table_fingerprint", _fingerprint_sql("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+       + " UNION ALL " + _fingerprint_sql("documents", "doc_id", "text", "lang", "source", "n_chars"))
 def table_fingerprint(spark, folder):
-    """Content hash of two tables; no SQL counterpart because the hash function is Spark's."""
-    orders = release.table_fingerprint(table(spark, folder, "orders")).withColumn("name", F.lit("orders"))
-    lines = release.table_fingerprint(table(spark, folder, "lineitem")).withColumn("name", F.lit("lineitem"))
-    return orders.unionByName(lines)
+    """Content hash of two whole tables."""
+    tables = [release.table_fingerprint(table(spark, folder, name)).withColumn("name", F.lit(name))
+              for name in ("orders", "documents")]
+    return tables[0].unionByName(tables[1])
+
+
+@query("hash_gate", """SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS rows, CASE WHEN year(o_orderdate) = 1998 THEN 'added'
+    WHEN bool_or(year(o_orderdate) = 1995 AND o_orderkey % 7 = 0) THEN 'changed' ELSE 'unchanged' END AS state FROM orders GROUP BY year(o_orderdate)""")
+def hash_gate(spark, folder):
+    """Which years of all orders moved since a release that lacked 1998 and held other prices in 1995."""
+    current = table(spark, folder, "orders").withColumn("year", F.year("o_orderdate"))
+    price = F.col("o_totalprice")
+    corrected = (F.col("year") == 1995) & (F.col("o_orderkey") % 7 == 0)
+    previous = current.filter("year <> 1998").withColumn("o_totalprice", F.when(corrected, price + 1).otherwise(price))
+    digests = lambda df: release.partition_digests(df, ["year"])
+    return release.moved_partitions(digests(previous), digests(current), ["year"])
 
 
 @query("latest_successful_run", """SELECT user_id AS source, event_id AS run, CAST(ts AS DATE) AS day FROM (

@@ -119,3 +119,19 @@ def test_type_share_is_zero_without_events(spark):
     catalogue = spark.createDataFrame([(1, "x"), (2, "y")], "t int, name string")
     rows = {(r.u, r.t): r for r in type_breakdown(dim, by_type, "u", "t", catalogue, ["event_count", "deaths"]).collect()}
     assert len(rows) == 4 and rows["a", 1].event_pct == 100 and rows["a", 1].deaths == 0 and rows["b", 2].event_pct == 0
+
+
+def test_partition_digests_tell_what_moved(spark):
+    from panelspark.operators.release import moved_partitions, partition_digests, table_fingerprint
+
+    schema = "p int, t string, m map<string,int>, b binary, l array<string>"
+    old = [(1, "a", {"x": 1, "y": 2}, b"q", ["a", None]), (1, None, None, None, None), (2, "ab", {}, b"", []), (3, "c", None, None, None)]
+    new = [(1, None, None, None, None), (1, "a", {"y": 2, "x": 1}, b"q", ["a", None]), (2, "ab", {}, None, []), (4, "c", None, None, None)]
+    left, right = spark.createDataFrame(old, schema), spark.createDataFrame(new, schema)
+    moved = moved_partitions(partition_digests(left, ["p"]), partition_digests(right, ["p"]), ["p"])
+    assert {r.p: (r.state, r.rows) for r in moved.collect()} == {
+        1: ("unchanged", 2), 2: ("changed", 1), 3: ("removed", 1), 4: ("added", 1)}
+    # Neither a value that moves to the next column nor a pair of equal rows goes unseen.
+    pair = lambda *rows: table_fingerprint(spark.createDataFrame(list(rows), "a string, b string")).first().fingerprint
+    assert len({pair(("ab", "c")), pair(("a", "bc")), pair(("ab", "c"), ("ab", "c")), pair(("ab", None)), pair(("ab", "-"))}) == 5
+    assert table_fingerprint(left.limit(0)).first().rows == 0
