@@ -3,7 +3,8 @@
 Spark has no Unicode decomposition builtin.  Folding is a ``translate`` whose table is derived from
 the Unicode data when first used: every code point of every script whose folded form differs.  Code
 points that fold to several are looked up in an array, and Hangul syllables are taken apart by
-arithmetic, both only in texts that have some.  ``normalize_exact`` is the same in one Arrow UDF.
+arithmetic, both only in texts that have some.  ASCII texts, told by their number of bytes, only
+change case.  ``normalize_exact`` is the same in one Arrow UDF.
 """
 
 from __future__ import annotations
@@ -59,7 +60,6 @@ def _folding(form: str, full_casefold: bool) -> tuple[str, str, list[str]]:
 
 def _fold(column: Column, form: str, full_casefold: bool) -> Column:
     source, target, expansions = _folding(form, full_casefold)
-    folded = F.translate(column, source, target)
     rare = (f"[{chr(_STAND_IN)}-{chr(_STAND_IN + len(expansions) - 1)}"
             f"{chr(_SYLLABLE)}-{chr(_SYLLABLE + _SYLLABLES - 1)}]")
     listed = lambda values: F.array(*[F.lit(v) for v in values])
@@ -73,7 +73,10 @@ def _fold(column: Column, form: str, full_casefold: bool) -> Column:
                        F.element_at(listed(expansions), (code - _STAND_IN + 1).cast("int")))
                 .when(code.between(_SYLLABLE, _SYLLABLE + _SYLLABLES - 1), F.concat(*jamo)).otherwise(char))
 
-    return F.when(folded.rlike(rare), F.array_join(F.transform(F.split(folded, ""), expand), "")).otherwise(folded)
+    # Bound, so that a text is translated once for the test and the result.
+    other = bind(F.translate(column, source, target), lambda folded: F.when(
+        folded.rlike(rare), F.array_join(F.transform(F.split(folded, ""), expand), "")).otherwise(folded))
+    return F.when(F.length(column) == F.octet_length(column), F.lower(column)).otherwise(other)
 
 
 def bind(value: Column, use) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from panelspark.functions.numbers import lenient_int, locale_decimal
 from panelspark.functions.text import contains_all, full_match, mentions_unit, normalize_slug
+from panelspark.operators.keyfilter import key_filter, may_hold
 from panelspark.operators.keys import first_seen, last_wins, union_of_lists
 from panelspark.session import cut_lineage
 
@@ -92,65 +93,105 @@ def attribute_transfers(programs: DataFrame, program_proposals: DataFrame, propo
 
 
 def word_runs(tokens: Column, length: Column) -> Column:
-    """Distinct hashes of every run of ``length`` words; null when there are fewer words."""
+    """Distinct runs of ``length`` words, as arrays; null when there are fewer words."""
     starts = F.sequence(F.lit(1), F.size(tokens) - length + 1)
     return F.when(F.size(tokens) >= length, F.array_distinct(F.transform(
-        starts, lambda i: F.hash(F.array_join(F.slice(tokens, i, length), " ")))))
+        starts, lambda i: F.slice(tokens, i, length))))
 
 
-def mention_join(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase_id: str,
-                 phrase: str, probe_words: int = 8) -> DataFrame:
-    """Pairs (text, phrase) where the normalised text holds the normalised phrase as a substring.
+def probe_key(size: Column, probe: Column) -> Column:
+    """Join key of a run of ``size`` words, or of ``-size`` letters inside a word."""
+    return F.xxhash64(size.cast("int"), probe)
 
-    A text that holds a phrase also holds, as whole words, every word of the phrase except
-    perhaps the first and the last.  One run of up to ``probe_words`` of these inner words is the
-    phrase's join key: the run that the fewest other phrases contain, so phrases with a common
-    passage do not all meet the same texts.  Texts offer every run of the lengths in use; the
-    substring test then decides.  Equal phrases are looked up once.
 
-    A phrase of one or two words has no inner word.  Its longest word lies inside some word of the
-    text, so it is looked up in the distinct words of the texts by its first letters (up to three).
+def phrase_probes(slugs: DataFrame, probe_words: int, probe_letters: int) -> DataFrame:
+    """One probe per distinct phrase: ``__phrase``, ``__size``, ``__key`` and the first word ``__first`` of a run.
+
+    A text that holds a phrase also holds, as whole words, every word of the phrase except perhaps
+    the first and the last.  The probe is the run of up to ``probe_words`` of these inner words that
+    the fewest other phrases contain, so phrases with a common passage do not all meet the same
+    texts.  A phrase of one or two words has no inner word; its longest word lies inside some word
+    of the text, so its probe is that word's first ``probe_letters`` letters.
     """
-    slug = phrases.select(phrase_id, normalize_slug(F.col(phrase)).alias("__phrase")).filter("__phrase <> ''")
     words = F.split("__phrase", " ")
-    inner = F.slice(words, F.lit(2), F.size(words) - 2)
-    runs = (slug.filter(F.size(words) > 2).select("__phrase").distinct().select("__phrase", inner.alias("__words"))
-            .withColumn("__len", F.least(F.size("__words"), F.lit(probe_words)))
-            .select("__phrase", "__len", F.explode(word_runs(F.col("__words"), F.col("__len"))).alias("__key")))
-    shared = runs.groupBy("__len", "__key").agg(F.count("*").alias("__n"))
-    keyed = (runs.join(shared, ["__len", "__key"]).groupBy("__phrase")
-             .agg(F.min(F.struct("__n", "__len", "__key")).alias("__probe"))
-             .select("__phrase", "__probe.__len", "__probe.__key"))
-    # At most ``probe_words`` values.
-    lengths = slug.filter(F.size(words) > 2).agg(F.sort_array(F.collect_set(
-        F.least(F.size(words) - 2, F.lit(probe_words))))).scalar()
-    tokens = texts.select(text_id, F.split(normalize_slug(F.col(text)), " ").alias("__tokens"))
-    offered = (tokens.withColumn("__len", F.explode(lengths))
-               .select(text_id, "__len", F.explode(word_runs(F.col("__tokens"), F.col("__len"))).alias("__key")))
-    candidates = (offered.join(keyed, ["__len", "__key"]).select(text_id, "__phrase")
-                  .unionByName(_short_mentions(tokens, text_id, slug.filter(F.size(words) <= 2))).distinct())
-    pairs = candidates.join(texts.select(text_id, text), text_id).filter(
-        normalize_slug(F.col(text)).contains(F.col("__phrase")))
-    return pairs.join(slug, "__phrase").select(text_id, phrase_id)
+    distinct = slugs.select("__phrase").distinct()
+    runs = (distinct.filter(F.size(words) > 2)
+            .select("__phrase", F.slice(words, F.lit(2), F.size(words) - 2).alias("__words"))
+            .withColumn("__size", F.least(F.size("__words"), F.lit(probe_words)))
+            .select("__phrase", "__size", F.explode(word_runs(F.col("__words"), F.col("__size"))).alias("__run"))
+            .select("__phrase", "__size", probe_key(F.col("__size"), F.col("__run")).alias("__key"),
+                    F.get("__run", 0).alias("__first")))
+    shared = runs.groupBy("__key").agg(F.count("*").alias("__n"))
+    long = (runs.join(shared, "__key").groupBy("__phrase")
+            .agg(F.min(F.struct("__n", "__size", "__key", "__first")).alias("__probe"))
+            .select("__phrase", "__probe.__size", "__probe.__key", "__probe.__first"))
+    longest = F.when((F.size(words) > 1) & (F.length(words[1]) > F.length(words[0])), words[1]).otherwise(words[0])
+    letters = F.substring(longest, 1, probe_letters)
+    size = -F.length(letters)
+    short = distinct.filter(F.size(words) <= 2).select(
+        "__phrase", size.alias("__size"), probe_key(size, letters).alias("__key"), F.lit(None).cast("string").alias("__first"))
+    return long.unionByName(short)
 
 
-def _short_mentions(tokens: DataFrame, text_id: str, slug: DataFrame) -> DataFrame:
-    """Candidate pairs (text, phrase) for phrases of one or two words, through the texts' distinct words.
+def probe_hits(tokens: Column, probes: DataFrame) -> Column:
+    """Places of a text that may hold a phrase: distinct (``__key``, ``__window``), the window in words.
 
-    Without such phrases no word leaves its row.
+    Two filters of fixed size, of the runs' first words and of all keys, decide while the text is
+    read, so only words that pass leave their row.  A window reaches as far as the longest phrase.
     """
-    words = F.split("__phrase", " ")
-    longest = F.when((F.size(words) > 1) & (F.length(words[1]) > F.length(words[0])), words[1]).otherwise(words[0])
-    short = (slug.select("__phrase").distinct().select("__phrase", longest.alias("__word"))
-             .withColumn("__size", F.least(F.lit(3), F.length("__word")))
-             .withColumn("__gram", F.substring("__word", 1, 3)))
-    sizes = short.agg(F.sort_array(F.collect_set("__size"))).scalar()
-    pairs = tokens.filter(F.size(sizes) > 0).select(text_id, F.explode(F.array_distinct("__tokens")).alias("__token"))
-    grams = (pairs.select("__token").distinct().withColumn("__size", F.explode(sizes))
-             .filter(F.length("__token") >= F.col("__size"))
-             .select("__token", "__size", F.explode(F.array_distinct(F.transform(
-                 F.sequence(F.lit(1), F.length("__token") - F.col("__size") + 1),
-                 lambda i: F.col("__token").substr(i, F.col("__size"))))).alias("__gram")))
-    found = (grams.join(short, ["__size", "__gram"]).filter(F.col("__token").contains(F.col("__word")))
-             .select("__token", "__phrase").distinct())
-    return pairs.join(found, "__token").select(text_id, "__phrase")
+    first_words = key_filter(probes.filter("__size > 0").select(F.xxhash64("__first").alias("key")), "key")
+    keys = key_filter(probes, "__key")
+    # At most ``probe_words`` and ``probe_letters`` values.
+    known = probes.agg(F.collect_set(F.when(F.col("__size") > 0, F.col("__size"))).alias("runs"),
+                       F.collect_set(F.when(F.col("__size") < 0, -F.col("__size"))).alias("letters"),
+                       F.max(F.size(F.split("__phrase", " "))).alias("reach")).first()
+    run_sizes, letter_sizes = (F.array(*map(F.lit, sorted(sizes))).cast("array<int>")
+                               for sizes in (known.runs, known.letters))
+    reach = F.lit(known.reach or 0)
+    places = F.sequence(F.lit(1), F.size(tokens))
+
+    def window(place, width):
+        start = F.greatest(F.lit(1), place - width)
+        return F.array_join(F.slice(tokens, start, place + width - start + 1), " ")
+
+    def kept(found, place, width):
+        return F.transform(F.filter(found, lambda key: may_hold(keys, key)), lambda key: F.struct(
+            key.alias("__key"), window(place, width).alias("__window")))
+
+    def run_keys(place):
+        return kept(F.transform(run_sizes, lambda n: probe_key(n, F.slice(tokens, place, n))), place, reach)
+
+    def letter_keys(place):
+        word = F.get(tokens, place - 1)
+        pieces = F.transform(F.filter(letter_sizes, lambda n: n <= F.length(word)), lambda n: F.transform(
+            F.sequence(F.lit(1), F.length(word) - n + 1), lambda at: probe_key(-n, F.substring(word, at, n))))
+        return kept(F.flatten(pieces), place, F.lit(1))
+
+    found = []
+    if known.runs:
+        starts = F.filter(places, lambda i: may_hold(first_words, F.xxhash64(F.get(tokens, i - 1))))
+        found.append(F.flatten(F.transform(starts, run_keys)))
+    if known.letters:
+        found.append(F.flatten(F.transform(places, letter_keys)))
+    nothing = F.array().cast("array<struct<__key:bigint,__window:string>>")
+    return F.array_distinct(F.concat(*found)) if found else nothing
+
+
+def mention_join(texts: DataFrame, text_id: str, text: str, phrases: DataFrame, phrase_id: str,
+                 phrase: str, probe_words: int = 8, probe_letters: int = 6) -> DataFrame:
+    """Pairs (text, phrase) where the normalised text holds the normalised phrase as a substring.
+
+    Each phrase has one probe (``phrase_probes``).  Texts are read and folded once; the places that
+    pass the probes' filters (``probe_hits``) go on with the words around them, never whole texts,
+    meet the phrases of their key, and a substring test decides.  Equal phrases are looked up once.
+    Null and empty phrases match nothing; a pair of ids is returned once per row of ``phrases``,
+    however often the text holds the phrase or its id is repeated.
+    """
+    slugs = phrases.select(phrase_id, normalize_slug(F.col(phrase)).alias("__phrase")).filter("__phrase <> ''")
+    # Read by the filters and the join.
+    probes = cut_lineage(phrase_probes(slugs, probe_words, probe_letters))
+    tokens = texts.select(text_id, F.split(normalize_slug(F.col(text)), " ").alias("__tokens"))
+    hits = tokens.select(text_id, F.explode(probe_hits(F.col("__tokens"), probes)).alias("__hit"))
+    found = (hits.select(text_id, "__hit.*").join(probes.select("__key", "__phrase"), "__key")
+             .filter(F.col("__window").contains(F.col("__phrase"))).select(text_id, "__phrase").distinct())
+    return found.join(slugs, "__phrase").select(text_id, phrase_id)

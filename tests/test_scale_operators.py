@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelspark.operators import benchmark as bm, evidence, keys
+from panelspark.operators.keyfilter import key_filter, may_hold
 from panelspark.operators.ordering import exact_quantiles, value_counts
 from panelspark.operators.shards import pack_shards
 
@@ -105,6 +106,30 @@ def test_mentions_against_brute_force(spark):
         assert got == {(i, j) for i, text in texts for j, phrase in phrases if phrase in text.lower()}
 
 
+def test_mentions_move_windows_not_texts(spark, tmp_path):
+    long = " ".join(f"w{i}" for i in range(5000))
+    spark.createDataFrame([(1, f"{long} Obras em São Paulo, no Acre {long}")], "t int, text string").write.parquet(str(tmp_path / "t"))
+    p = spark.createDataFrame([("a", "obras em sao paulo"), ("b", "acre"), ("c", "w4998 w4999 obras")], "p string, phrase string")
+    df = evidence.mention_join(spark.read.parquet(str(tmp_path / "t")), "t", "text", p, "p", "phrase")
+    assert {r.p for r in df.collect()} == {"a", "b", "c"}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parquet") == 1  # texts are read once
+    hits = evidence.probe_hits(F.split(F.lit(f"{long} obras em sao paulo {long}"), " "),
+                               evidence.phrase_probes(p.selectExpr("phrase AS __phrase"), 8, 6).persist())
+    windows = spark.range(1).select(F.explode(hits).alias("h")).select("h.__window").collect()
+    assert windows and max(len(w[0].split(" ")) for w in windows) <= 2 * 4 + 1
+
+
+def test_key_filter_passes_its_keys_and_few_others(spark):
+    keys_ = spark.range(-5000, 5000, 2).select(F.xxhash64("id").alias("k")).union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    bits = key_filter(keys_, "k")
+    held = spark.range(-5000, 5000).select("id", may_hold(bits, F.xxhash64("id")).alias("held")).collect()
+    assert all(r.held for r in held if r.id % 2 == 0)
+    assert sum(r.held for r in held if r.id % 2) < 100
+    empty = key_filter(keys_.limit(0), "k")
+    assert spark.range(100).filter(may_hold(empty, F.col("id"))).count() == 0
+
+
 def test_dedup_picks_by_arrival(spark):
     df = spark.createDataFrame([("a", 3, "x"), ("a", 1, "y"), ("a", 2, None), ("b", 5, "z")], "k string, seq int, v string")
     assert {(r.k, r.v) for r in keys.first_seen(df, ["k"], "seq").collect()} == {("a", "y"), ("b", "z")}
