@@ -110,17 +110,15 @@ def annual_series(dim: DataFrame, fact: DataFrame, unit: str, region: str, year:
     """Dense unit x year x type with the unit's own count and its region's average."""
     region_rows = region_yearly_average(dim, fact, unit, region, year, type_column, types, total_label)
     own = yearly_counts(fact, unit, year, type_column, total_label)
-    grid = dim.select(unit, region).join(
-        region_rows.select(region, "year", "type", "average", "members"), region)
-    return (grid.join(own, [unit, "year", "type"], "left")
-            .withColumn("n", F.coalesce("n", F.lit(0))))
-
-
-def dense_types(dim: DataFrame, unit: str, catalogue: DataFrame) -> DataFrame:
-    """Every unit with every type of a small fixed catalogue."""
-    entries = catalogue.agg(F.collect_list(F.struct(*catalogue.columns))).scalar()
-    return (dim.select(unit).withColumn("__type", F.explode(entries))
-            .select(unit, *[F.col("__type")[c].alias(c) for c in catalogue.columns]))
+    # One row per unit and one per region meet; years and types are laid out after the joins.
+    counts = own.groupBy(unit).agg(F.map_from_entries(F.collect_list(F.struct(
+        F.struct("year", "type"), "n"))).alias("__counts"))
+    cells = region_rows.groupBy(region).agg(F.collect_list(F.struct("year", "type", "average", "members")).alias("__cells"))
+    grid = (dim.select(unit, region).join(counts, unit, "left").join(cells, region)
+            .select(unit, region, "__counts", F.explode("__cells").alias("__cell")))
+    count = F.try_element_at(F.col("__counts"), F.struct(F.col("__cell.year"), F.col("__cell.type")))
+    return grid.select(region, "__cell.year", "__cell.type", unit, "__cell.average", "__cell.members",
+                       F.coalesce(count, F.lit(0).cast("bigint")).alias("n"))
 
 
 def type_breakdown(dim: DataFrame, by_type: DataFrame, unit: str, type_column: str,
@@ -132,14 +130,25 @@ def type_breakdown(dim: DataFrame, by_type: DataFrame, unit: str, type_column: s
     ``totals`` (unit, total) gives the denominators, else the sum over the types.  The share of a
     unit without events is 0 here, while ``month_breakdown`` gives null.
     """
-    observed = by_type.groupBy(unit, type_column).agg(
+    # Types as the catalogue writes them, so that a unit's map has each of them once.
+    typed = by_type.withColumn(type_column, F.col(type_column).cast(catalogue.schema[type_column].dataType))
+    observed = typed.groupBy(unit, type_column).agg(
         F.min("first_event_date").alias("first_event_date"),
         F.max("latest_event_date").alias("latest_event_date"),
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in measures])
     if totals is None:
         totals = observed.groupBy(unit).agg(F.sum(count).alias("total"))
-    joined = (dense_types(dim, unit, catalogue).join(observed, [unit, type_column], "left")
-              .join(totals.select(unit, F.col("total").alias("__total")), unit, "left"))
+    # One row per unit meets the dimension; the catalogue is laid out after the joins.
+    fields = [c for c in observed.columns if c not in (unit, type_column)]
+    per_unit = observed.filter(F.col(type_column).isNotNull()).groupBy(unit).agg(F.map_from_entries(F.collect_list(F.struct(
+        type_column, F.struct(*fields)))).alias("__types"))
+    entries = catalogue.agg(F.collect_list(F.struct(*catalogue.columns))).scalar()
+    joined = (dim.select(unit).join(per_unit, unit, "left")
+              .join(totals.select(unit, F.col("total").alias("__total")), unit, "left")
+              .withColumn("__entry", F.explode(entries)))
+    observation = F.try_element_at(F.col("__types"), F.col("__entry")[type_column])
+    joined = joined.select(unit, *[F.col("__entry")[c].alias(c) for c in catalogue.columns],
+                           *[observation[c].alias(c) for c in fields], "__total")
     filled = joined.withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in measures})
     share = F.coalesce(percentage(F.col(count), F.col("__total")), F.lit(0.0))
     return filled.withColumn("event_pct", share).drop("__total")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelspark.functions.numbers import json_number
 from panelspark.operators import events as op, keys
 from panelspark.operators.benchmark import metric_rows, peer_benchmark
 from panelspark.queries.registry import E, P, SNAP, TYPES, U, as_double, events, panel, query, units
@@ -256,3 +257,15 @@ def peer_benchmark_events(spark, folder):
     return peer_benchmark(rows, "unit", "region").select(
         "unit", "region", "value", "group_size", F.round("mean", 9).alias("mean"), "median",
         "pct_strictly_lower")
+
+
+@query("json_numbers", """SELECT unit, to_json({'share': x}) AS document FROM (SELECT o_custkey AS unit,
+  CASE WHEN count(*) FILTER (WHERE o_orderstatus = 'F') > 0
+    THEN floor(count(*) FILTER (WHERE o_orderstatus = 'O') * 1000.0 / count(*) FILTER (WHERE o_orderstatus = 'F'))::BIGINT END AS x
+  FROM orders GROUP BY o_custkey)""")
+def json_numbers(spark, folder):
+    """Open orders per thousand finished ones of every unit, encoded; without finished orders null, never infinite."""
+    counts = events(spark, folder).groupBy("unit").agg(F.count_if(F.col("status") == "O").alias("open"),
+                                                       F.count_if(F.col("status") == "F").alias("finished"))
+    share = json_number(F.col("open") * 1000.0 / F.nullif("finished", F.lit(0)))
+    return counts.select("unit", F.to_json(F.struct(F.floor(share).alias("share")), {"ignoreNullFields": "false"}).alias("document"))

@@ -19,10 +19,11 @@ from panelspark.quality import checks as q
 from panelspark.queries.registry import E, U, events, query, table, units
 from panelspark.session import scratch_path
 from panelspark.sinks.writers import (append_run, archive_release, write_csv, write_json_lines, write_named_texts,
-                                      write_parquet, write_slice)
+                                      write_ordered_parquet, write_parquet, write_slice)
 from panelspark.sources.contracts import Contract, with_lineage
 from panelspark.sources.readers import (file_inventory, latest_successful_run, read_contract_csv, read_landed_sheet,
-                                        read_nested_json, read_range, read_runs, read_typed_csv, representative_sample)
+                                        read_nested_json, read_range, read_runs, read_typed_csv, representative_sample, unzip_csv,
+                                        with_source_row_number)
 
 ORDERS = Contract("orders", ("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "day", "amount"),
                   {"o_orderkey": "bigint", "o_custkey": "bigint", "day": "date", "amount": "decimal(18,2)"})
@@ -197,6 +198,45 @@ def parquet_sink(spark, folder):
         F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 
+@query("ordered_sink", """SELECT row_number() OVER (ORDER BY day, o_orderkey) AS source_row_number, o_orderkey, day
+  FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders)""")
+def ordered_sink(spark, folder):
+    """All orders by day and key: their physical place in the written files is their place in the order."""
+    path = scratch_path(spark, "ordered")
+    write_ordered_parquet(_orders(spark, folder).select("o_orderkey", "day"), path, ["day", "o_orderkey"])
+    return with_source_row_number(spark.read.parquet(path)).select("source_row_number", "o_orderkey", "day")
+
+
+def _zipped_customers(key, frame):
+    """One archive of up to a thousand customers: a note and a CSV with a byte order mark."""
+    import csv
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    text, packed = io.StringIO(newline=""), io.BytesIO()
+    writer = csv.writer(text, delimiter=";")
+    writer.writerow(["segment", "name", "unit"])
+    rows = frame.sort_values("c_custkey")
+    writer.writerows(zip(rows["c_mktsegment"], rows["c_name"], rows["c_custkey"]))
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("readme.txt", "customers")
+        archive.writestr("data/CUSTOMERS.CSV", text.getvalue().encode("utf-8-sig"))
+    return pd.DataFrame({"archive": [f"customers-{key[0]}.zip"], "content": [packed.getvalue()]})
+
+
+@query("zipped_csv", """SELECT 'customers-' || CAST(c_custkey // 1000 AS VARCHAR) || '.zip' AS archive,
+  row_number() OVER (PARTITION BY c_custkey // 1000 ORDER BY c_custkey) - 1 AS row_idx,
+  CAST(c_custkey AS VARCHAR) AS unit, c_name AS name, c_mktsegment AS segment, CAST(NULL AS VARCHAR) AS phone FROM customer""")
+def zipped_csv(spark, folder):
+    """All customers from zipped CSV members by header name; the header lacks one of the columns."""
+    archives = (table(spark, folder, "customer").select("c_custkey", "c_name", "c_mktsegment")
+                .groupBy(F.expr("c_custkey div 1000").alias("block"))
+                .applyInPandas(_zipped_customers, "archive string, content binary"))
+    return unzip_csv(archives, ["unit", "name", "segment", "phone"])
+
+
 @query("archived_release", "SELECT 'r1' AS source_release, o_orderstatus, count(*) AS rows, min(o_orderkey) AS first_key FROM orders GROUP BY o_orderstatus")
 def archived_release(spark, folder):
     """A release of all orders is archived once; a second attempt with other values leaves it as it was."""

@@ -160,9 +160,17 @@ def with_source_row_number(df: DataFrame, name: str = "source_row_number") -> Da
 
 
 def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], sep: str = ";") -> DataFrame:
-    """Rows of the first CSV member of each archive, by header name; one task per archive.
+    """Rows of the first CSV member of each zip file of a folder, see ``unzip_csv``."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+             .select(F.col("path").alias("archive"), "content"))
+    return unzip_csv(files, columns, sep)
+
 
-    ``row_idx`` is the row's position in its member, ``archive`` its path, so that arrival
+def unzip_csv(archives: DataFrame, columns: Sequence[str], sep: str = ";") -> DataFrame:
+    """Rows of the first CSV member of each archive (``archive``, ``content``), by header name; one task per archive.
+
+    A column that the header lacks is null, as are those a short line lacks; an archive without a
+    CSV member stops the run.  ``row_idx`` is the row's position in its member, ``archive`` its path, so that arrival
     order stays available.  Rows stream out in small batches: an archive is never whole in
     memory as rows.
     """
@@ -180,7 +188,7 @@ def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], sep:
 
         names = ["archive", "row_idx", *wanted]
         for batch in batches:
-            for archive, content in zip(batch["path"], batch["content"], strict=True):
+            for archive, content in zip(batch["archive"], batch["content"], strict=True):
                 with zipfile.ZipFile(io.BytesIO(content)) as zipped:
                     member = next(n for n in zipped.namelist() if n.lower().endswith(".csv"))
                     with zipped.open(member) as raw:
@@ -195,9 +203,7 @@ def read_zipped_csv(spark: SparkSession, path: str, columns: Sequence[str], sep:
                         if rows:
                             yield pd.DataFrame(rows, columns=names)
 
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-             .select("path", "content"))
-    return files.mapInPandas(unpack, schema)
+    return archives.select("archive", "content").mapInPandas(unpack, schema)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

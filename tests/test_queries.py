@@ -35,3 +35,9 @@ def test_events_are_aggregated_before_they_meet_the_units(spark):
     df = entry_module.queries()["history_snapshot"](spark, FOLDER)
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join LeftOuter") < plan.index("Aggregate [unit")
+
+
+@pytest.mark.parametrize("name, laid_out", [("annual_series", "explode(__cells"), ("type_breakdown", "Generate explode(")])
+def test_dense_grids_are_laid_out_after_the_joins(spark, name, laid_out):
+    plan = entry_module.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index(laid_out) < plan.index("Join LeftOuter")

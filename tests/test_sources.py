@@ -208,3 +208,19 @@ def test_failed_writes_leave_the_old_table(spark, tmp_path):
     assert writers.archive_release(spark.range(3), str(tmp_path / "h"), "r1")
     assert not writers.archive_release(spark.range(9), str(tmp_path / "h"), "r1")
     assert spark.read.parquet(str(tmp_path / "h")).filter("source_release = 'r1'").count() == 3
+
+
+def test_ordered_parquet_files_do_not_overlap(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows = [(i * 7919 % 1000, None if i == 5 else f"v{i % 13:02}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, v string").repartition(3)
+    path = str(tmp_path / "ordered")
+    writers.write_ordered_parquet(df, path, ["v", "k"])
+    files = [pq.read_table(f).to_pylist() for f in sorted(glob.glob(f"{path}/part-*"))]
+    order = [((r["v"] is not None, r["v"] or ""), r["k"]) for f in files for r in f]
+    assert len(order) == 1000 and order == sorted(order)
+    writers.write_ordered_parquet(df.limit(0), path, ["v", "k"])
+    assert spark.read.parquet(path).count() == 0
